@@ -1,10 +1,12 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from . import chat, sharding
+from . import chat, pieces, sharding, tiff
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_tiff": tiff.op4_tiff,
     "op6_chat": chat.op6_chat,
+    "op10_pieces": pieces.op10_pieces,
 }
 ORACLE = {
     "op6_chat": chat.OP6_SQL,
