@@ -1,10 +1,11 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from . import chat, pieces, sharding, tiff
+from . import chat, pieces, secrets, sharding, tiff
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_tiff": tiff.op4_tiff,
+    "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,
     "op10_pieces": pieces.op10_pieces,
 }
