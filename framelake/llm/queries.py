@@ -1,12 +1,13 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from . import chat, pieces, secrets, sharding, tiff, toxicity
+from . import chat, minhash, pieces, secrets, sharding, tiff, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_tiff": tiff.op4_tiff,
     "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,
+    "op7_minhash": minhash.op7_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pieces": pieces.op10_pieces,
 }
