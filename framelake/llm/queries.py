@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from . import chat, minhash, pieces, secrets, sharding, tiff, toxicity
+from . import caps, chat, minhash, pieces, secrets, sharding, tiff, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_caps": caps.op3_caps,
     "op4_tiff": tiff.op4_tiff,
     "op5_secrets": secrets.op5_secrets,
     "op6_chat": chat.op6_chat,
