@@ -1,8 +1,9 @@
 """Mixing sources to target weights: posteriors of a labelled-table classifier, and document rates by projected gradient.
 
 Domains are what labels say (good, poor, toxic); a document belongs to each by its posterior. Rates r >= 0 minimize
-sum_d w_d (sum_i r_i tokens_i p_id - target_d)^2. A gradient step changes a rate by its posteriors alone, so a rate is a
+(A r - target)' W (A r - target) with A_di = tokens_i p_id. A gradient step changes a rate by its posteriors alone, so a rate is a
 function of a row and of the few residuals so far: nothing but those residuals reaches the driver, and no rate is stored.
+The weighting is the inverse of the domains' Gram matrix, which makes the step length 1 and the rounds few.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ from .common import cut, literal, table
 
 #: Bound of the labelled rows that the classifier is fitted on, for each domain, by hash of doc_id.
 SAMPLE_PER_DOMAIN = 4_000
-MOST_WORDS = 64
+#: Words that tell a domain: so many at most, so much likelier there than elsewhere.
+MOST_WORDS, LEAST_RATIO = 64, 5.0
 #: Target shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 ROUNDS, TOLERANCE = 60, 1e-3
 #: Posteriors are those of the classifier to this power: its features are not independent.
-TEMPER = 0.5
+TEMPER = 0.7
 SYMBOLS = "*#$%&|!"
 BINS = {
     "symbols": [0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2],
@@ -84,16 +87,16 @@ class Classifier:
         return F.transform(exp, lambda x: x / F.aggregate(exp, F.lit(0.0), lambda s, y: s + y))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> Classifier:
     """A naive Bayes classifier of binned features, among them words that tell a domain; counts only reach the driver."""
     rows = labels.select("doc_id", domain().alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL")
     picked = None
-    for d in TARGETS:
+    for d in wanted:
         one = rows.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_DOMAIN)
         picked = one if picked is None else picked.unionByName(one)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "sample")
     sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    domains = [d for d in TARGETS if d in sizes] or ["good"]
+    domains = [d for d in wanted if d in sizes] or wanted[:1]
     total = sum(sizes.values()) or 1
     words = sample.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     counts = words.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in domains])
@@ -101,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     for d in domains:
         others = sum((F.col(o) for o in domains if o != d), F.lit(0))
         gain = F.col(d) / sizes.get(d, 1) - others / max(total - sizes.get(d, 0), 1)
-        telling[d] = [r.word for r in counts.where(F.col(d) >= 3).where(gain > 0).orderBy(F.desc(gain * F.log((F.col(d) + 0.5) / (others + 0.5) * (total / sizes.get(d, 1)))), "word").limit(MOST_WORDS).collect()] if len(domains) > 1 else []
+        telling[d] = [r.word for r in counts.where(F.col(d) >= 3).where((F.col(d) + 0.5) * (total - sizes.get(d, 0)) >= LEAST_RATIO * (others + 0.5) * sizes.get(d, 1)).orderBy(F.desc(gain * F.log((F.col(d) + 0.5) / (others + 0.5) * (total / sizes.get(d, 1)))), "word").limit(MOST_WORDS).collect()] if len(domains) > 1 else []
     bins = measured(sample, telling).select("domain", F.posexplode("mix_bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").count().collect()
     seen = {(r.domain, r.feature, r.bin): r["count"] for r in bins}
     table = [[[math.log((seen.get((d, k, b), 0) + 1) / (sizes.get(d, 0) + len(cuts) + 1)) for d in domains] for b in range(len(cuts) + 1)] for k, cuts in enumerate(BINS.values())]
@@ -110,16 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(domains, telling, [math.log((shares.get(d, 0) + 1) / (every + len(domains))) for d in domains], table)
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0 + 0.01 * i for i in range(len(m))]
-    n = 1.0
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        n = math.sqrt(sum(x * x for x in w)) or 1.0
-        v = [x / n for x in w]
-    return n
-
-
 def rate(posterior: Column, steps: list[list[float]]) -> Column:
     """A document's rate: from 1, each step goes against the gradient and stays at 0 or above."""
     start = F.lit(1.0)
@@ -136,10 +129,11 @@ class Solution:
     reached: list[float]
 
 
-def solve(rows: DataFrame, weights: list[float], total: float | None = None) -> Solution:
+def solve(rows: DataFrame, weights: list[float], total: float | None = None, keep: bool = False) -> Solution:
     """Projected-gradient least squares over ``rows`` (mix_tokens, mix_posterior); one aggregation for each round.
 
-    Without a total the targets are the least multiple of the weights at which no domain has to lose tokens.
+    Without a total the targets add up to the tokens there are; with ``keep`` they are the least multiple of the weights
+    at which no domain has to lose tokens.
     """
     n = len(weights)
     p = [F.get(F.col("mix_posterior"), F.lit(d)) for d in range(n)]
@@ -147,40 +141,40 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None) ->
     first = rows.agg(*[F.sum(t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(t * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
     have = [first[f"t{d}"] or 0.0 for d in range(n)]
     share = [w / sum(weights) for w in weights]
-    total = total or max(h / s for h, s in zip(have, share, strict=True))
+    total = max(h / s for h, s in zip(have, share, strict=True)) if keep else total or sum(have)
     targets = [total * s for s in share]
-    gram = [[first[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)]
-    scale = [gram[d][d] or 1.0 for d in range(n)]
-    step = 1 / max(_largest_eigenvalue([[gram[d][e] / math.sqrt(scale[d] * scale[e]) for e in range(n)] for d in range(n)]), 1e-9)
+    gram = np.array([[first[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)])
     steps: list[list[float]] = []
     reached = have
     for _ in range(ROUNDS):
         if all(abs(a - b) <= TOLERANCE * max(b, 1.0) for a, b in zip(reached, targets, strict=True)):
             break
-        steps.append([step * (a - b) / s for a, b, s in zip(reached, targets, scale, strict=True)])
+        steps.append(np.linalg.lstsq(gram, np.subtract(reached, targets), rcond=1e-12)[0].tolist())
         r = rate(F.col("mix_posterior"), steps)
         got = rows.withColumn("r", r).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)]).first()
         reached = [got[f"t{d}"] or 0.0 for d in range(n)]
     return Solution(steps, targets, reached)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
     """``docs`` with mix_tokens, mix_posterior, mix_rate and mix_copies (times to use the document).
 
-    Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself. Null and empty texts
+    Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself; with ``keep`` no
+    domain is thinned out, and every row is used once at least. Null and empty texts
     have no tokens; equal rows get equal answers; a domain without labelled rows is left out and its weight dealt to the
     others; without any labels all rates are 1. Columns with the prefix mix_ are ours; an empty table stays empty.
     """
     targets = targets or TARGETS
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    model = fit(docs, labels)
+    model = fit(docs, labels, list(targets))
     with_bins = measured(docs, model.telling)
     with_p = with_bins.withColumn("mix_posterior", model.posterior(F.col("mix_bins")))
     rows = cut(with_p.select("mix_tokens", "mix_posterior").where("mix_tokens > 0"), "posteriors")
-    found = solve(rows, [targets[d] for d in model.domains]) if len(model.domains) > 1 else Solution([], [], [])
+    found = solve(rows, [targets[d] for d in model.domains], keep=keep) if len(model.domains) > 1 else Solution([], [], [])
     even = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 11) / F.lit(float(1 << 53))
     out = with_p.withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps))
-    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + even).cast("int")).drop("mix_bins")
+    copies = F.floor(F.col("mix_rate") + even).cast("int")
+    return out.withColumn("mix_copies", F.greatest(copies, F.lit(1)) if keep else copies).drop("mix_bins")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
