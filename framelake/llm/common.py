@@ -43,3 +43,8 @@ def drop_cut(df: DataFrame) -> None:
 def literal(value: str, kind: str):
     """A JSON text as a constant of a Spark type; the optimizer folds it once."""
     return F.from_json(F.lit(value), kind)
+
+
+def let(value, use):
+    """``use(value)`` with ``value`` computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

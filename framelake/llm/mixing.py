@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, literal, table
+from .common import cut, let, literal, table
 
 #: Bound of the labelled rows that the classifier is fitted on, for each domain, by hash of doc_id.
 SAMPLE_PER_DOMAIN = 4_000
@@ -82,9 +82,8 @@ class Classifier:
         features = F.array(*map(F.lit, range(len(BINS))))
         term = lambda d: lambda s, k: s + F.get(F.get(F.get(known, k), F.get(bins, k)), F.lit(d))
         logs = [F.lit(p) + F.aggregate(features, F.lit(0.0), term(d)) * F.lit(TEMPER) for d, p in enumerate(self.prior)]
-        each = F.array(*logs)
-        exp = F.transform(each, lambda x: F.exp(x - F.array_max(each)))
-        return F.transform(exp, lambda x: x / F.aggregate(exp, F.lit(0.0), lambda s, y: s + y))
+        exp = let(F.array(*logs), lambda each: let(F.array_max(each), lambda top: F.transform(each, lambda x: F.exp(x - top))))
+        return let(exp, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> Classifier:
@@ -179,7 +178,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row as many times as mix_copies says, without our columns."""
-    rows = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    rows = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
     return rows.drop(*[c for c in rows.columns if c.startswith("mix_")])
 
 
