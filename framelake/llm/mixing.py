@@ -3,7 +3,8 @@
 Domains are what labels say (good, poor, toxic); a document belongs to each by its posterior. Rates r >= 0 minimize
 (A r - target)' W (A r - target) with A_di = tokens_i p_id. A gradient step changes a rate by its posteriors alone, so a rate is a
 function of a row and of the few residuals so far: nothing but those residuals reaches the driver, and no rate is stored.
-The weighting is the inverse of the domains' Gram matrix, which makes the step length 1 and the rounds few.
+The weighting is the inverse of the domains' Gram matrix, over the rows above 0 while that helps, which makes the step
+length 1 and the rounds few.
 """
 
 from __future__ import annotations
@@ -143,15 +144,25 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None, kee
     total = max(h / s for h, s in zip(have, share, strict=True)) if keep else total or sum(have)
     targets = [total * s for s in share]
     gram = np.array([[first[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)])
+    def tried(steps: list[list[float]]) -> tuple[list[float], np.ndarray, float]:
+        """Totals at these steps, the Gram matrix of the rows that aren't held at 0, and the relative miss."""
+        live = F.when(F.col("r") > 0, t)
+        got = rows.withColumn("r", rate(F.col("mix_posterior"), steps)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(live * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
+        totals = [got[f"t{d}"] or 0.0 for d in range(n)]
+        return totals, np.array([[got[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)]), miss(totals)
+
+    miss = lambda totals: max(abs(a - b) / max(b, 1.0) for a, b in zip(totals, targets, strict=True))
+    toward = lambda metric: np.linalg.lstsq(metric, np.subtract(reached, targets), rcond=1e-12)[0].tolist()
     steps: list[list[float]] = []
-    reached = have
+    reached, live, error = have, gram, miss(have)
     for _ in range(ROUNDS):
-        if all(abs(a - b) <= TOLERANCE * max(b, 1.0) for a, b in zip(reached, targets, strict=True)):
+        if error <= TOLERANCE:
             break
-        steps.append(np.linalg.lstsq(gram, np.subtract(reached, targets), rcond=1e-12)[0].tolist())
-        r = rate(F.col("mix_posterior"), steps)
-        got = rows.withColumn("r", r).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)]).first()
-        reached = [got[f"t{d}"] or 0.0 for d in range(n)]
+        found = tried([*steps, step := toward(live)])
+        if found[2] >= error:  # too long a step: the metric of all rows never overshoots
+            found = tried([*steps, step := toward(gram)])
+        steps.append(step)
+        reached, live, error = found
     return Solution(steps, targets, reached)
 
 
