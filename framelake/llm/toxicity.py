@@ -19,8 +19,8 @@ SAMPLE_PER_CLASS = 6_000
 #: Terms kept at most, least evidence for one (twice the log-likelihood ratio), least ratio of its rates.
 MOST_TERMS, LEAST_EVIDENCE, LEAST_RATIO = 2_000, 25.0, 10.0
 PREFIXES = range(4, 9)
-#: Edits allowed by term length; shorter terms must be met exactly.
-EDITS = ((10, 2), (5, 1))
+#: Edits allowed in terms of at least so many letters; shorter ones must be met exactly.
+EDITS, LEAST_FUZZY = 1, 5
 WINDOW = 60
 MOST_WORDS = 300_000
 WORDS = re.compile(r"\w+").findall
@@ -56,33 +56,28 @@ class Lexicon(dict):
         self.terms, self.trie = terms, {}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.stem_lengths = sorted({len(t) for t in self.stems})
-        self.longest = 0
-        self.heads, self.tails, self.halves = set(), set(), set()
+        #: Fuzzy terms and what is left of them without one letter. A word within one edit of a term is in here, or is
+        #: once it has lost a letter itself: only such words are worth a walk of the trie.
+        self.near_by: set[str] = set()
         for term, weight in terms.items():
-            if term.endswith("*") or self.edits(term) == 0:
+            if term.endswith("*") or not self.edits(term):
                 continue
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, weight)
-            self.longest = max(self.longest, len(term))
-            # with k edits one of k + 1 parts of the term stays whole
-            n = self.edits(term) + 1
-            cuts = [len(term) * i // n for i in range(n + 1)]
-            self.heads.add(term[: cuts[1]])
-            self.tails.add(term[cuts[n - 1] :])
-            self.halves |= {term[cuts[i] : cuts[i + 1]] for i in range(1, n - 1)}
-        self.head_lengths, self.tail_lengths = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            self.near_by |= {term, *(term[:i] + term[i + 1 :] for i in range(len(term)))}
 
     @staticmethod
     def edits(term: str) -> int:
-        return next((k for n, k in EDITS if len(term) >= n), 0)
+        return EDITS if len(term) >= LEAST_FUZZY else 0
 
     def near(self, word: str) -> tuple[float, str] | None:
         """The heaviest term within its number of edits of the word: the automaton runs down the trie."""
-        if not (any(word[:n] in self.heads for n in self.head_lengths) or any(word[-n:] in self.tails for n in self.tail_lengths) or any(x in word for x in self.halves)):
+        near_by = self.near_by
+        if word not in near_by and not any(word[:i] + word[i + 1 :] in near_by for i in range(len(word))):
             return None
-        auto = Automaton(word, EDITS[0][1])
+        auto = Automaton(word, EDITS)
         best, stack = None, [(self.trie, auto.start)]
         while stack:
             node, row = stack.pop()
@@ -100,7 +95,7 @@ class Lexicon(dict):
         for n in self.stem_lengths:
             if n < len(word) and (w := self.stems.get(word[:n])) is not None:
                 return w, True
-        if 4 <= len(word) <= self.longest + EDITS[0][1] and (found := self.near(word)):
+        if len(word) >= LEAST_FUZZY - EDITS and (found := self.near(word)):
             return found[0], False
         return None
 
