@@ -17,9 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars, each round written to the shared folder; only a count and a checksum reach the
     driver. Minima are taken by aggregation before rows are joined to them, so a node with very many neighbours is
-    never gathered. Loops count as nodes, nulls are dropped.
+    never gathered. Loops and edges with nulls are ignored.
     """
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    pairs = edges.where("a <> b")
     now = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:

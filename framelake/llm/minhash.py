@@ -247,12 +247,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+#: Names that the rows of a caller are joined by, unlikely to be theirs.
+KEYS = ("framelake_doc", "framelake_node", "framelake_copies")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class; of equal rows one."""
     found = near_duplicates(docs).where("kept")
     none = F.lit(-(1 << 63)).cast("long")
-    wanted = found.groupBy(F.coalesce("doc_id", none).alias("doc_key"), F.coalesce("node", F.lit(0).cast("long")).alias("node_key")).agg(F.count("*").alias("copies"))
-    keyed = docs.withColumns({"doc_key": F.coalesce(F.col("doc_id").cast("long"), none), "node_key": F.coalesce(node_of(F.col("text")), F.lit(0).cast("long"))})
-    rows = keyed.join(wanted, ["doc_key", "node_key"])
-    single = rows.where("copies = 1").select(*docs.columns)
-    return single.unionByName(rows.where("copies > 1").dropDuplicates(["doc_key", "node_key"]).select(*docs.columns))
+    wanted = found.groupBy(F.coalesce("doc_id", none).alias(KEYS[0]), F.coalesce("node", F.lit(0).cast("long")).alias(KEYS[1])).agg(F.count("*").alias(KEYS[2]))
+    keyed = docs.withColumns({KEYS[0]: F.coalesce(F.col("doc_id").cast("long"), none), KEYS[1]: F.coalesce(node_of(F.col("text")), F.lit(0).cast("long"))})
+    rows = keyed.join(wanted, [*KEYS[:2]])
+    single = rows.where(F.col(KEYS[2]) == 1).select(*docs.columns)
+    return single.unionByName(rows.where(F.col(KEYS[2]) > 1).dropDuplicates([*KEYS[:2]]).select(*docs.columns))
