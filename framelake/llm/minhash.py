@@ -113,13 +113,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return out
 
 
-def _signed(texts: DataFrame, text: str) -> DataFrame:
-    """node, sig (a byte of each register) and bands for each row; null where a text has no words."""
+def signed(texts: DataFrame, text: str) -> DataFrame:
+    """``texts`` without the text, with sig (a byte of each register) and bands; null where a text has no words."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            values, nodes = [x or "" for x in batch.column(text).to_pylist()], batch.column("node")
+            values = [x or "" for x in batch.column(text).to_pylist()]
             sizes = [len(x) // 5 + 1 for x in values]
             at = 0
             while at < len(values):
@@ -218,9 +218,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     that meet two by two, so that no task holds more than two parts.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
-    signed = cut(_signed(docs, "text"), "signed")
-    known = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
-    once = signed.where("bands IS NOT NULL").select("node", "bands", "sig").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    rows_signed = cut(signed(docs, "text"), "signed")
+    known = rows_signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
+    once = rows_signed.where("bands IS NOT NULL").select("node", "bands", "sig").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     once = cut(once, "once")
     banded = once.select("node", F.explode("bands").alias("band"))
     full = banded.withColumn("n", F.expr("count(*) OVER (PARTITION BY band)")).where("n > 1")
@@ -237,7 +237,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     joined = cut(components(links), "classes")
     classes = joined.join(known, "node").groupBy("root").agg(F.min("least").alias("class_id"))
     by_node = known.join(joined.join(classes, "root").select("node", "class_id"), "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
-    rows = signed.select("doc", "node")
+    rows = rows_signed.select("doc", "node")
     with_class = rows.where("node IS NOT NULL").join(by_node, "node").unionByName(rows.where("node IS NULL").withColumn("class_id", F.col("doc")))
     return with_class.select(F.col("doc").alias(doc_id), "node", "class_id", F.expr("doc <=> class_id").alias("kept"))
 

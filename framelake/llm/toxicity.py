@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .minhash import signed
 
 #: Bound of the sample that the lexicon and the weights are learned from: labelled rows of each class, by hash of doc_id.
 SAMPLE_PER_CLASS = 6_000
@@ -155,12 +156,38 @@ def _evidence(n1: int, n0: int, all1: int, all0: int) -> float:
     return 2 * sum(k * math.log(k / (n * p)) for k, p in ((n1, share), (n0, 1 - share)) if k)
 
 
+def unrelated(sample: DataFrame) -> DataFrame:
+    """One row of each family of near copies and class of the bounded sample, so that a text's own words don't count as evidence again with each copy.
+
+    Families are rows joined by equal MinHash bands; the driver gets the bands of the sample (24 numbers a row at most).
+    """
+    rows = signed(sample.select(F.xxhash64("text").alias("node"), "toxic", "text"), "text").select("node", "toxic", "bands").orderBy("node", "toxic").collect()
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    holder: dict[int, int] = {}
+    for r in rows:
+        for band in r.bands or ():
+            a, b = find(r.node), find(holder.setdefault(band, r.node))
+            up[max(a, b)] = min(a, b)
+    first: dict[tuple[int, int], int] = {}
+    for r in rows:
+        first.setdefault((find(r.node), r.toxic), r.node)
+    kept = sample.sparkSession.createDataFrame([(node, toxic) for (_, toxic), node in first.items()], "node bigint, toxic int")
+    return sample.withColumn("node", F.xxhash64("text")).join(F.broadcast(kept), ["node", "toxic"]).select("text", "toxic")
+
+
 def fit(sample: DataFrame) -> Model:
     """Learn from a bounded sample with columns text and toxic (0 or 1); without both classes a model that says 0.
 
-    Counts of terms are made by the executors; the driver gets at most MOST_TERMS terms, and for each row of the
-    sample four numbers.
+    Near copies count once. Counts of terms are made by the executors; the driver gets at most MOST_TERMS terms, and for
+    each row of the sample four numbers. Weights are fitted to rows of both classes in the numbers of the sample.
     """
+    sample = unrelated(sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic"))).cache()
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     all1, all0 = sizes.get(1, 0), sizes.get(0, 0)
     if not all1 or not all0:
