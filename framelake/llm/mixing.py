@@ -46,7 +46,7 @@ def domain() -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), "")
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:
@@ -60,13 +60,15 @@ def measured(df: DataFrame, telling: dict[str, list[str]], text: str = "text") -
     """``df`` with mix_tokens and mix_bins (the bin of each feature, in the order of BINS)."""
     value = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("mix_words", _words(F.col(text)))
+    every = literal(json.dumps(sorted({w for words in telling.values() for w in words})), "array<string>")
     out = out.withColumns({"mix_tokens": F.size("mix_words").cast("long"), "mix_distinct": F.array_distinct("mix_words")})
+    out = out.withColumns({"mix_distinct": F.size("mix_distinct"), "mix_hits": F.array_intersect("mix_distinct", every)})
     chars, tokens = F.greatest(F.length(value), F.lit(1)), F.greatest(F.col("mix_tokens"), F.lit(1))
     without = lambda x: F.length(value) - F.length(F.translate(value, x, ""))
-    hits = lambda d: F.size(F.array_intersect("mix_distinct", literal(json.dumps(telling.get(d, [])), "array<string>")))
-    found = {"symbols": without(SYMBOLS) / chars, "distinct": F.size("mix_distinct") / tokens, "word": chars / tokens, "lines": without("\n") / chars, "size": chars, **{d: hits(d) for d in ("good", "poor", "toxic")}}
+    hits = lambda d: F.size(F.array_intersect("mix_hits", literal(json.dumps(telling.get(d, [])), "array<string>")))
+    found = {"symbols": without(SYMBOLS) / chars, "distinct": F.col("mix_distinct") / tokens, "word": chars / tokens, "lines": without("\n") / chars, "size": chars, **{d: hits(d) for d in ("good", "poor", "toxic")}}
     bins = F.array(*[_bin(found[k], cuts) for k, cuts in BINS.items()])
-    return out.withColumn("mix_bins", bins).drop("mix_words", "mix_distinct")
+    return out.withColumn("mix_bins", bins).drop("mix_words", "mix_distinct", "mix_hits")
 
 
 @dataclass
@@ -166,25 +168,24 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None, kee
     return Solution(steps, targets, reached)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False, drop_text: bool = False) -> DataFrame:
     """``docs`` with mix_tokens, mix_posterior, mix_rate and mix_copies (times to use the document).
 
     Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself; with ``keep`` no
-    domain is thinned out, and every row is used once at least. Null and empty texts
+    domain is thinned out, and every row is used once at least; with ``drop_text`` texts are read once and left out. Null and empty texts
     have no tokens; equal rows get equal answers; a domain without labelled rows is left out and its weight dealt to the
     others; without any labels all rates are 1. Columns with the prefix mix_ are ours; an empty table stays empty.
     """
     targets = targets or TARGETS
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     model = fit(docs, labels, list(targets))
-    with_bins = measured(docs, model.telling)
-    with_p = with_bins.withColumn("mix_posterior", model.posterior(F.col("mix_bins")))
-    rows = cut(with_p.select("mix_tokens", "mix_posterior").where("mix_tokens > 0"), "posteriors")
-    found = solve(rows, [targets[d] for d in model.domains], keep=keep) if len(model.domains) > 1 else Solution([], [], [])
     even = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 11) / F.lit(float(1 << 53))
-    out = with_p.withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps))
-    copies = F.floor(F.col("mix_rate") + even).cast("int")
-    return out.withColumn("mix_copies", F.greatest(copies, F.lit(1)) if keep else copies).drop("mix_bins")
+    with_p = measured(docs, model.telling).withColumns({"mix_posterior": model.posterior(F.col("mix_bins")), "mix_even": even}).drop("mix_bins")
+    rows = cut(with_p.drop("text") if drop_text else with_p.select("mix_tokens", "mix_posterior"), "posteriors")
+    found = solve(rows.where("mix_tokens > 0"), [targets[d] for d in model.domains], keep=keep) if len(model.domains) > 1 else Solution([], [], [])
+    out = (rows if drop_text else with_p).withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps))
+    copies = F.floor(F.col("mix_rate") + F.col("mix_even")).cast("int")
+    return out.withColumn("mix_copies", F.greatest(copies, F.lit(1)) if keep else copies).drop("mix_even")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -195,5 +196,5 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and copies of every document."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), drop_text=True)
     return out.select("doc_id", F.col("mix_tokens").alias("tokens"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
