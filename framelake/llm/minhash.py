@@ -17,8 +17,8 @@ REGISTERS = BANDS * ROWS
 LEAST_ESTIMATE = 0.6
 #: Most members of a bucket, and of a cluster, that meet at once; larger ones are divided into parts that meet two by two.
 BUCKET_PART, CLUSTER_PART = 512, 512
-BATCH_WORDS = 1_000_000
-MOST_WORDS = 400_000
+BATCH_WORDS = 300_000
+MOST_WORDS = 250_000
 COLUMNS = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -20,7 +20,7 @@ from .common import table
 
 SPACE = "▁"
 #: Entries that a worker remembers of segments and of pairs before it starts afresh; they bound its memory.
-MOST_SEGMENTS, MOST_PAIRS = 300_000, 600_000
+MOST_SEGMENTS, MOST_PAIRS = 200_000, 300_000
 #: Characters of text decoded in one call and sent on in one batch.
 BATCH_CHARS = 4 << 20
 

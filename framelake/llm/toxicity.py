@@ -23,7 +23,7 @@ PREFIXES = range(4, 9)
 #: Edits allowed in terms of at least so many letters; shorter ones must be met exactly.
 EDITS, LEAST_FUZZY = 1, 5
 WINDOW = 60
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
 WORD_AT = re.compile(r"\w+").finditer
 QUOTES = re.compile("[\"“”„«»‘’]|'(?=\\w)|(?<=\\w)'(?!\\w)")
