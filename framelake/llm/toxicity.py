@@ -20,8 +20,8 @@ SAMPLE_PER_CLASS = 6_000
 #: Terms kept at most, least evidence for one (twice the log-likelihood ratio), least ratio of its rates.
 MOST_TERMS, LEAST_EVIDENCE, LEAST_RATIO = 2_000, 25.0, 10.0
 PREFIXES = range(4, 9)
-#: Edits allowed in terms of at least so many letters; shorter ones must be met exactly.
-EDITS, LEAST_FUZZY = 1, 5
+#: Edits allowed by term length; shorter terms must be met exactly.
+EDITS = ((10, 2), (5, 1))
 WINDOW = 60
 MOST_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
@@ -49,6 +49,15 @@ class Automaton:
         return min(row) <= self.edits
 
 
+def shortened(word: str, letters: int) -> set[str]:
+    """The word and all that is left of it without up to so many letters."""
+    out = last = {word}
+    for _ in range(letters):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Lexicon(dict):
     """Word -> (weight, is exact) of the best term it meets, or None. Terms are whole words, or stems that end in ``*``."""
 
@@ -57,9 +66,12 @@ class Lexicon(dict):
         self.terms, self.trie = terms, {}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.stem_lengths = sorted({len(t) for t in self.stems})
-        #: Fuzzy terms and what is left of them without one letter. A word within one edit of a term is in here, or is
-        #: once it has lost a letter itself: only such words are worth a walk of the trie.
-        self.near_by: set[str] = set()
+        #: By number of edits, the terms that allow so many and what is left of them without up to so many letters. A word
+        #: within k edits of a term is in here once it has lost up to k letters itself: only such words are worth a walk.
+        self.near_by: dict[int, set[str]] = {}
+        #: By length of a word, what may stand where in it: of k + 1 parts of a term one outlives k edits, and moves by k
+        #: letters at most. This spares most words the loss of letters.
+        self.parts: dict[int, dict[tuple[int, int], set[str]]] = {}
         for term, weight in terms.items():
             if term.endswith("*") or not self.edits(term):
                 continue
@@ -67,18 +79,29 @@ class Lexicon(dict):
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, weight)
-            self.near_by |= {term, *(term[:i] + term[i + 1 :] for i in range(len(term)))}
+            k = self.edits(term)
+            self.near_by.setdefault(k, set()).update(shortened(term, k))
+            cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
+            for size in range(len(term) - k, len(term) + k + 1):
+                for a, b in zip(cuts, cuts[1:]):
+                    for at in range(max(0, a - k), min(size - (b - a), a + k) + 1):
+                        self.parts.setdefault(size, {}).setdefault((at, at + b - a), set()).add(term[a:b])
 
     @staticmethod
     def edits(term: str) -> int:
-        return EDITS if len(term) >= LEAST_FUZZY else 0
+        return next((k for n, k in EDITS if len(term) >= n), 0)
+
+    def worth(self, word: str) -> int:
+        """The most edits at which the word may be near a term, 0 if none."""
+        if not any(word[a:b] in parts for (a, b), parts in self.parts.get(len(word), {}).items()):
+            return 0
+        return max((k for k, left in self.near_by.items() if not left.isdisjoint(shortened(word, k))), default=0)
 
     def near(self, word: str) -> tuple[float, str] | None:
         """The heaviest term within its number of edits of the word: the automaton runs down the trie."""
-        near_by = self.near_by
-        if word not in near_by and not any(word[:i] + word[i + 1 :] in near_by for i in range(len(word))):
+        if not (most := self.worth(word)):
             return None
-        auto = Automaton(word, EDITS)
+        auto = Automaton(word, most)
         best, stack = None, [(self.trie, auto.start)]
         while stack:
             node, row = stack.pop()
@@ -96,7 +119,7 @@ class Lexicon(dict):
         for n in self.stem_lengths:
             if n < len(word) and (w := self.stems.get(word[:n])) is not None:
                 return w, True
-        if len(word) >= LEAST_FUZZY - EDITS and (found := self.near(word)):
+        if found := self.near(word):
             return found[0], False
         return None
 

@@ -367,6 +367,29 @@ def test_automaton_meets_what_edit_distance_says():
         assert (lexicon.near(word) is not None) == any(distance(word, t) <= 1 for t in terms), word
 
 
+def test_long_terms_are_met_with_two_edits():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    lexicon = toxicity.Lexicon({"disgusting": 1.0, "abcabcabca": 1.0, "worthless": 1.0, "vile": 1.0})
+    assert all(lexicon.near(w) for w in ("disgsuting", "dizguzting", "disgstng", "ddisgustinng"))
+    assert not any(lexicon.near(w) for w in ("dizguztink", "wortlhess", "vil", "", "a"))
+    rng = random.Random(4)
+    for _ in range(3000):
+        word = list("abcabcabca")
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(word))
+            word[at : at + 1] = rng.choice(["", "a", "ab", "bc", "c"])
+        word = "".join(word)
+        assert (lexicon.near(word) is not None) == (distance(word, "abcabcabca") <= 2), word
+
+
 # 10 pieces
 
 
