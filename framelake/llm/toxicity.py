@@ -22,6 +22,8 @@ MOST_TERMS, LEAST_EVIDENCE, LEAST_RATIO = 2_000, 25.0, 10.0
 PREFIXES = range(4, 9)
 #: Edits allowed by term length; shorter terms must be met exactly.
 EDITS = ((10, 2), (5, 1))
+#: What an edit leaves of a term's weight.
+EDIT_SHARE = 0.7
 WINDOW = 60
 MOST_WORDS = 200_000
 WORDS = re.compile(r"\w+").findall
@@ -59,7 +61,10 @@ def shortened(word: str, letters: int) -> set[str]:
 
 
 class Lexicon(dict):
-    """Word -> (weight, is exact) of the best term it meets, or None. Terms are whole words, or stems that end in ``*``."""
+    """Word -> (weight, is exact) of the best term it meets, or None; each edit leaves EDIT_SHARE of a term's weight.
+
+    Terms are whole words, or stems that end in ``*``.
+    """
 
     def __init__(self, terms: dict[str, float]):
         super().__init__()
@@ -98,7 +103,7 @@ class Lexicon(dict):
         return max((k for k, left in self.near_by.items() if not left.isdisjoint(shortened(word, k))), default=0)
 
     def near(self, word: str) -> tuple[float, str] | None:
-        """The heaviest term within its number of edits of the word: the automaton runs down the trie."""
+        """The term within its number of edits of the word that keeps the most weight: the automaton runs down the trie."""
         if not (most := self.worth(word)):
             return None
         auto = Automaton(word, most)
@@ -107,8 +112,8 @@ class Lexicon(dict):
             node, row = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= self.edits(child[0]) and (best is None or child[1] > best[0]):
-                        best = (child[1], child[0])
+                    if row[-1] <= self.edits(child[0]) and (best is None or child[1] * EDIT_SHARE ** row[-1] > best[0]):
+                        best = (child[1] * EDIT_SHARE ** row[-1], child[0])
                 elif auto.alive(after := auto.step(row, c)):
                     stack.append((child, after))
         return best
@@ -141,7 +146,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
-    """Sums of term weights met exactly and nearly, met in quotation, and per word; all grow as the logarithm."""
+    """Sums of term weights met exactly, what near ones add to that, met in quotation, and per word; all grow as the logarithm."""
     low = text.lower()
     words = WORDS(low)
     hits = [x for x in map(lexicon.__getitem__, words) if x]
@@ -152,7 +157,8 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     for m in WORD_AT(low):
         if found := lexicon[m[0]]:
             sums[2 if quoted(source, m.start(), m.end()) else 0 if found[1] else 1] += found[0]
-    return (*(math.log1p(x) for x in sums), math.log1p(100 * (sums[0] + sums[1]) / len(words)))
+    exact, both = math.log1p(sums[0]), math.log1p(sums[0] + sums[1])
+    return (exact, both - exact, math.log1p(sums[2]), math.log1p(100 * (sums[0] + sums[1]) / len(words)))
 
 
 @dataclass
@@ -254,8 +260,11 @@ def fit(sample: DataFrame) -> Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> tuple[tuple[float, ...], float]:
-    """Ridge logistic regression by Newton's method. Weights stay at 0 or above; quotation counts half of abuse at most."""
-    a = np.c_[x, np.ones(len(x))]
+    """Ridge logistic regression by Newton's method. Weights stay at 0 or above; quotation counts half of abuse at most.
+
+    Exact and near terms are one sum and have one weight: what an edit costs is EDIT_SHARE, not learned from rows without any.
+    """
+    a = np.c_[x[:, 0] + x[:, 1], x[:, 2:], np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-3
@@ -266,10 +275,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50)
         w[:-1] = np.maximum(w[:-1], 0)
         if np.abs(step).max() < 1e-8:
             break
-    w[2] = min(w[2], w[0] / 2)
+    w[1] = min(w[1], w[0] / 2)
     if not x[:, 2].any():
-        w[2] = w[0] / 2
-    return tuple(float(v) for v in w[:-1]), float(w[-1])
+        w[1] = w[0] / 2
+    return tuple(float(v) for v in (w[0], *w[:-1])), float(w[-1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> DataFrame:

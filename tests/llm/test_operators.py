@@ -390,6 +390,18 @@ def test_long_terms_are_met_with_two_edits():
         assert (lexicon.near(word) is not None) == (distance(word, "abcabcabca") <= 2), word
 
 
+def test_misspelled_terms_count_whatever_clean_rows_hold(spark):
+    rng = random.Random(8)
+    bad = ["grimble", "snarkle", "worstling"]
+    close = ["grumble", "sparkle", "worstlings"]  # words of clean rows, one edit away
+    data = [(i, prose(rng, 80) + " " + " ".join(rng.choices(bad if i % 4 == 0 else close, k=3)) + " end", int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    assert set(bad) <= set(model.terms) and model.weights[0] > 0 and model.weights[1] == model.weights[0]
+    lexicon = toxicity.Lexicon(model.terms)
+    score = lambda words: model.score(toxicity.features(prose(random.Random(9), 80) + words, lexicon))
+    assert score("") < score(" grimbl") < score(" grimble") and score(" grimbl snarkl worstlin") > score(" grimbl")
+
+
 # 10 pieces
 
 
