@@ -63,7 +63,8 @@ def shortened(word: str, letters: int) -> set[str]:
 class Lexicon(dict):
     """Word -> (weight, is exact) of the best term it meets, or None; each edit leaves EDIT_SHARE of a term's weight.
 
-    Terms are whole words, or stems that end in ``*``.
+    Terms are whole words, or stems that end in ``*``. Stems are met exactly; the words of a stem that are terms too are what
+    misspelled words are near to.
     """
 
     def __init__(self, terms: dict[str, float]):
@@ -213,7 +214,8 @@ def unrelated(sample: DataFrame) -> DataFrame:
 def fit(sample: DataFrame) -> Model:
     """Learn from a bounded sample with columns text and toxic (0 or 1); without both classes a model that says 0.
 
-    Near copies count once. Counts of terms are made by the executors; the driver gets at most MOST_TERMS terms, and for
+    Near copies count once. Counts of terms are made by the executors; the driver gets at most 20 * MOST_TERMS of them (the
+    model holds MOST_TERMS and as many words of its stems), and for
     each row of the sample four numbers. Weights are fitted to rows of both classes in the numbers of the sample.
     """
     sample = unrelated(sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic"))).cache()
@@ -235,17 +237,21 @@ def fit(sample: DataFrame) -> Model:
     ratio = (F.col("n1") + 0.5) / (F.col("n0") + 0.5) * ((all0 + 1) / (all1 + 1))
     likely = counts.where((F.col("n1") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("n1") - F.col("n0")), "term").limit(20 * MOST_TERMS)
     terms: dict[str, float] = {}
+    members: list[tuple[int, str, float]] = []
     scored = [(len(r.term), -r.n1, r.term, r.n1, r.n0) for r in likely.collect() if _evidence(r.n1, r.n0, all1, all0) >= LEAST_EVIDENCE]
     whole = {t: n for _, n, t, *_ in scored if not t.endswith("*")}
     for _, _, term, n1, n0 in sorted(scored):
         stem = term.rstrip("*")
-        if any(stem[:n] + "*" in terms for n in PREFIXES if n <= len(stem)):
+        if over := [stem[:n] + "*" for n in PREFIXES if n <= len(stem) and stem[:n] + "*" in terms]:
+            if not term.endswith("*"):
+                members.append((-n1, term, terms[over[0]]))  # weighs what its stem does, and has more letters to be near to
             continue
         if term.endswith("*") and any(w.startswith(stem) and n <= -0.8 * n1 for w, n in whole.items()):
             continue  # nearly always one word: the word itself is the term
         terms[term] = math.log((n1 + 0.5) / (n0 + 0.5) * (all0 + 1) / (all1 + 1))
         if len(terms) == MOST_TERMS:
             break
+    terms |= {term: weight for _, term, weight in sorted(members)[:MOST_TERMS]}
 
     def measure(batches):
         lexicon = Lexicon(terms)

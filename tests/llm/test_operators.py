@@ -402,6 +402,18 @@ def test_misspelled_terms_count_whatever_clean_rows_hold(spark):
     assert score("") < score(" grimbl") < score(" grimble") and score(" grimbl snarkl worstlin") > score(" grimbl")
 
 
+def test_words_of_stems_are_met_with_edits(spark):
+    rng = random.Random(5)
+    ends = ["ou", "ment", "elle", "ation", "ich", "keit"]
+    data = [(i, prose(rng, 60) + (" " + " ".join("quob" + e for e in rng.sample(ends, 3)) + " end" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    assert "quob*" in model.terms
+    lexicon = toxicity.Lexicon(model.terms)
+    stem = model.terms["quob*"]
+    assert lexicon["quobnew"] == (stem, True) and all(lexicon["quob" + e] == (stem, True) for e in ends)
+    assert all(lexicon[w] == (stem * toxicity.EDIT_SHARE, False) for w in ("qubelle", "quubation", "uobich", "quubment"))
+
+
 # 10 pieces
 
 
