@@ -26,6 +26,8 @@ MOST_WORDS, LEAST_RATIO = 64, 5.0
 #: Target shares of tokens.
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 ROUNDS, TOLERANCE = 60, 1e-3
+#: A round that grows the targets must leave so much of the miss at most.
+SLOWEST = 0.95
 #: Posteriors are those of the classifier to this power: its features are not independent.
 TEMPER = 0.7
 SYMBOLS = "*#$%&|!"
@@ -115,13 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> Classifier:
     return Classifier(domains, telling, [math.log((shares.get(d, 0) + 1) / (every + len(domains))) for d in domains], table)
 
 
-def rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """A document's rate: from 1, each step goes against the gradient and stays at 0 or above."""
+def rate(posterior: Column, steps: list[list[float]], least: float = 0.0) -> Column:
+    """A document's rate: from 1, each step goes against the gradient and stays at ``least`` or above."""
     start = F.lit(1.0)
     if not steps:
         return start
     dot = lambda h: F.aggregate(F.zip_with(posterior, h, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(literal(json.dumps(steps), "array<array<double>>"), start, lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+    return F.aggregate(literal(json.dumps(steps), "array<array<double>>"), start, lambda r, h: F.greatest(F.lit(least), r - dot(h)))
 
 
 @dataclass
@@ -134,10 +136,10 @@ class Solution:
 def solve(rows: DataFrame, weights: list[float], total: float | None = None, keep: bool = False) -> Solution:
     """Projected-gradient least squares over ``rows`` (mix_tokens, mix_posterior); one aggregation for each round.
 
-    Without a total the targets add up to the tokens there are; with ``keep`` they are the least multiple of the weights
-    at which no domain has to lose tokens.
+    Without a total the targets add up to the tokens there are. With ``keep`` rates are 1 or more and the targets the least
+    multiple of the weights that no domain is above: as rows belong a little to each domain, it grows with the steps.
     """
-    n = len(weights)
+    n, least = len(weights), 1.0 if keep else 0.0
     p = [F.get(F.col("mix_posterior"), F.lit(d)) for d in range(n)]
     t = F.col("mix_tokens").cast("double")
     first = rows.agg(*[F.sum(t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(t * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
@@ -147,9 +149,9 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None, kee
     targets = [total * s for s in share]
     gram = np.array([[first[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)])
     def tried(steps: list[list[float]]) -> tuple[list[float], np.ndarray, float]:
-        """Totals at these steps, the Gram matrix of the rows that aren't held at 0, and the relative miss."""
-        live = F.when(F.col("r") > 0, t)
-        got = rows.withColumn("r", rate(F.col("mix_posterior"), steps)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(live * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
+        """Totals at these steps, the Gram matrix of the rows that aren't held at the least rate, and the relative miss."""
+        live = F.when(F.col("r") > least, t)
+        got = rows.withColumn("r", rate(F.col("mix_posterior"), steps, least)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(live * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
         totals = [got[f"t{d}"] or 0.0 for d in range(n)]
         return totals, np.array([[got[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)]), miss(totals)
 
@@ -163,6 +165,14 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None, kee
         found = tried([*steps, step := toward(live)])
         if found[2] >= error:  # too long a step: the metric of all rows never overshoots
             found = tried([*steps, step := toward(gram)])
+        if keep:
+            before = targets
+            total = max(total, *(r / s for r, s in zip(found[0], share, strict=True)))
+            targets = [total * s for s in share]
+            found = (*found[:2], miss(found[0]))
+            if found[2] > SLOWEST * error:  # out of reach: copies would grow without end
+                targets = before
+                break
         steps.append(step)
         reached, live, error = found
     return Solution(steps, targets, reached)
@@ -171,8 +181,8 @@ def solve(rows: DataFrame, weights: list[float], total: float | None = None, kee
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False, drop_text: bool = False) -> DataFrame:
     """``docs`` with mix_tokens, mix_posterior, mix_rate and mix_copies (times to use the document).
 
-    Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself; with ``keep`` no
-    domain is thinned out, and every row is used once at least; with ``drop_text`` texts are read once and left out. Null and empty texts
+    Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself; with ``keep`` rates are
+    1 or more, so every row is used once at least; with ``drop_text`` texts are read once and left out. Null and empty texts
     have no tokens; equal rows get equal answers; a domain without labelled rows is left out and its weight dealt to the
     others; without any labels all rates are 1. Columns with the prefix mix_ are ours; an empty table stays empty.
     """
@@ -183,9 +193,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     with_p = measured(docs, model.telling).withColumns({"mix_posterior": model.posterior(F.col("mix_bins")), "mix_even": even}).drop("mix_bins")
     rows = cut(with_p.drop("text") if drop_text else with_p.select("mix_tokens", "mix_posterior"), "posteriors")
     found = solve(rows.where("mix_tokens > 0"), [targets[d] for d in model.domains], keep=keep) if len(model.domains) > 1 else Solution([], [], [])
-    out = (rows if drop_text else with_p).withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps))
-    copies = F.floor(F.col("mix_rate") + F.col("mix_even")).cast("int")
-    return out.withColumn("mix_copies", F.greatest(copies, F.lit(1)) if keep else copies).drop("mix_even")
+    out = (rows if drop_text else with_p).withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps, 1.0 if keep else 0.0))
+    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + F.col("mix_even")).cast("int")).drop("mix_even")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -83,6 +83,22 @@ def test_mix_solver_is_projected_least_squares(spark):
     assert np.allclose((p * (rate * t)[:, None]).sum(0), found.reached) and np.allclose(found.reached, found.targets, rtol=0.02) and (rate >= 0).all()
 
 
+def test_kept_rows_meet_targets_by_the_copies_written(spark):
+    rng = np.random.default_rng(2)
+    p = np.vstack([rng.dirichlet([0.4, 0.4], 300), rng.dirichlet([5.0, 0.3], 100)])
+    t = rng.integers(1, 50, 400)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "mix_tokens long, mix_posterior array<double>")
+    for weights in ([0.5, 0.5], [0.75, 0.25]):
+        found = mixing.solve(df, weights, keep=True)
+        rates = np.array([r.r for r in df.select(mixing.rate(F.col("mix_posterior"), found.steps, 1.0).alias("r")).collect()])
+        totals = (p * (rates * t)[:, None]).sum(0)
+        assert (rates >= 1).all() and np.allclose(totals / totals.sum(), weights, atol=0.01)
+    docs, labels = labelled_corpus(spark)
+    got = rows(mixing.mix(docs, labels, {"good": 0.3, "poor": 0.7}, keep=True))
+    totals = np.sum([np.array(r["mix_posterior"]) * r["mix_copies"] * r["mix_tokens"] for r in got], axis=0)
+    assert min(r["mix_rate"] for r in got) >= 1 and abs(totals[0] / totals.sum() - 0.3) < 0.03
+
+
 def test_mix_without_labels_or_rows(spark):
     docs, labels = labelled_corpus(spark, 30)
     assert {r["mix_rate"] for r in rows(mixing.mix(docs, labels.limit(0)))} == {1.0}
