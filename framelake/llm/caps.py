@@ -7,53 +7,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .graph import Forest, by_group, components, in_blocks, spanning
+from .common import WRITTEN, cut, drop_since, join_spread, table
+from .graph import Forest, by_group, components, in_blocks, sized, spanning
 
 SIMILARITY = 0.98
-#: A code is a product of BLOCKS codebooks of CODEWORDS random unit vectors each after a random rotation, so it has
-#: CODEWORDS ** BLOCKS caps. In each of CODES codes a vector's caps are the FILTERS best, its own threshold.
-BLOCKS, CODEWORDS, CODES, FILTERS = 4, 32, 2, 16
+#: Codes, and how far below its best cap a vector's threshold lies, in standard deviations of the product of a cap with
+#: what sets two vectors at SIMILARITY apart.
+CODES, MARGIN = 3, 1.0
+#: A code is a product of BLOCKS codebooks of unit vectors after a random rotation, so it has words ** BLOCKS caps; a
+#: codebook has so many words that a cap holds about ROWS_PER_CAP of spread-out vectors, within these bounds.
+BLOCKS, CAPS_PER_ROW, ROWS_PER_CAP, LEAST_WORDS, MOST_WORDS = 4, 36, 1, 24, 512
 #: Most vectors of a bucket that meet at once; larger buckets are divided into parts that meet two by two.
-BUCKET_PART = 1024
+BUCKET_PART = 512
+#: Vectors decoded at once, and columns of caps compared at once; they bound a worker's memory.
+DECODE_ROWS, COLUMNS = 256, 4096
 SEED = 20_240_601
 
 
-def codebooks(dim: int, code: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rotation (padded dim, padded dim) and the codewords (BLOCKS, CODEWORDS, width) of one code."""
-    rng = np.random.default_rng([SEED, dim, code])
-    width = -(-dim // BLOCKS)
-    rotation, _ = np.linalg.qr(rng.standard_normal((width * BLOCKS, width * BLOCKS)))
-    words = rng.standard_normal((BLOCKS, CODEWORDS, width))
-    return rotation, words / np.linalg.norm(words, axis=2, keepdims=True)
-
-
-def decode(unit: np.ndarray, rotation: np.ndarray, words: np.ndarray, filters: int = FILTERS) -> np.ndarray:
-    """(n, filters) numbers of the caps that exceed each vector's threshold, by joining the best halves."""
-    n, dim = unit.shape
-    padded = np.zeros((n, len(rotation)))
-    padded[:, :dim] = unit
-    turned = (padded @ rotation).reshape(n, BLOCKS, -1)
-    near = np.einsum("nbw,bcw->nbc", turned, words)
-    halves = []
-    for k in (0, 2):
-        both = (near[:, k, :, None] + near[:, k + 1, None, :]).reshape(n, -1)
-        best = np.argpartition(-both, filters - 1, axis=1)[:, :filters]  # a top sum has each half in that half's top
-        halves.append((best, np.take_along_axis(both, best, 1)))
-    (a, sa), (b, sb) = halves
-    total = (sa[:, :, None] + sb[:, None, :]).reshape(n, -1)
-    top = np.argpartition(-total, filters - 1, axis=1)[:, :filters]
-    return np.take_along_axis(a, top // filters, 1) * CODEWORDS**2 + np.take_along_axis(b, top % filters, 1)
-
-
-def _filtered(vectors: DataFrame) -> DataFrame:
-    """node, label, copies, unit (doubles as bytes), caps (sorted numbers over all codes)."""
+def codewords(vectors: int) -> int:
+    """Words of a codebook for so many vectors: caps grow as the vectors do, so buckets of unlike vectors don't."""
+    return int(min(MOST_WORDS, max(LEAST_WORDS, np.ceil((vectors * CAPS_PER_ROW / ROWS_PER_CAP) ** (1 / BLOCKS)))))
+
+
+class Code:
+    """One structured random product code: a rotation and BLOCKS codebooks.
+
+    A vector's threshold is its best product less a margin that its dimension fixes, so every vector exceeds some and two
+    near ones share some, however the rotation spreads them over the blocks; a threshold that is one for all vectors
+    leaves about a tenth of them without any cap.
+    """
+
+    def __init__(self, dim: int, words: int, number: int):
+        rng = np.random.default_rng([SEED, dim, words, number])
+        width = -(-dim // BLOCKS)
+        words = min(words, 2 * width * width)  # few dimensions don't hold many directions
+        self.dim, self.count = dim, words
+        self.rotation, _ = np.linalg.qr(rng.standard_normal((width * BLOCKS, width * BLOCKS)))
+        book = rng.standard_normal((BLOCKS, words, width))
+        self.book = book / np.linalg.norm(book, axis=2, keepdims=True)
+        self.margin = MARGIN * np.sqrt(1 - SIMILARITY**2) * np.sqrt(BLOCKS / dim)
+
+    def near(self, unit: np.ndarray) -> np.ndarray:
+        """(n, BLOCKS, words) products of each block with its codewords; a cap's product is a sum of one of each block."""
+        padded = np.zeros((len(unit), len(self.rotation)))
+        padded[:, : self.dim] = unit
+        return np.einsum("nbw,bcw->nbc", (padded @ self.rotation).reshape(len(unit), BLOCKS, -1), self.book)
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cap) of every cap whose product reaches the row's threshold.
+
+        What a product loses against the best is a sum of what its words lose, so words and then pairs of words that lose
+        more than the margin are left out, and the rest is joined.
+        """
+        near = self.near(unit)
+        loss = near.max(2, keepdims=True) - near
+        half = []
+        for k in (0, 2):
+            words = []
+            for b in (k, k + 1):
+                most = max(int((loss[:, b] <= self.margin).sum(1).max()), 1)
+                word = np.argpartition(loss[:, b], most - 1, axis=1)[:, :most]
+                words.append((word, np.take_along_axis(loss[:, b], word, 1)))
+            (wa, la), (wb, lb) = words
+            both = (la[:, :, None] + lb[:, None, :]).reshape(len(unit), -1)
+            number = (wa[:, :, None] * self.count + wb[:, None, :]).reshape(len(unit), -1)
+            row, at = np.nonzero(both <= self.margin)
+            half.append((row, number[row, at], both[row, at]))
+        (ra, na, la), (rb, nb, lb) = half
+        start, size = np.searchsorted(rb, np.arange(len(unit))), np.bincount(rb, minlength=len(unit))
+        left = np.repeat(np.arange(len(ra)), size[ra])
+        right = np.arange(len(left)) - np.repeat(np.cumsum(size[ra]) - size[ra], size[ra]) + start[ra[left]]
+        fit = la[left] + lb[right] <= self.margin
+        left, right = left[fit], right[fit]
+        return ra[left], na[left].astype(np.int64) * self.count**2 + nb[right]
+
+
+def decoded(unit: np.ndarray, codes: list[Code]) -> list[np.ndarray]:
+    """The sorted caps of each vector, over all codes."""
+    found = [(row, cap + (number << 40)) for number, code in enumerate(codes) for row, cap in [code.decode(unit)]]
+    row, cap = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((cap, row))
+    return np.split(cap[order], np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
+
+
+def _filtered(vectors: DataFrame, words: int) -> DataFrame:
+    """node, space, copies, unit (doubles as bytes), caps (sorted numbers over all codes)."""
 
     def run(batches):
-        books: dict[int, list] = {}
+        books: dict[int, list[Code]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
                 rows = part.column("embedding").to_pylist()
                 dims = np.array([len(x) for x in rows])
                 caps: list = [None] * len(rows)
@@ -64,9 +108,8 @@ def _filtered(vectors: DataFrame) -> DataFrame:
                     x /= np.abs(x).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     if dim not in books:
-                        books[dim] = [codebooks(dim, c) for c in range(CODES)]
-                    found = np.concatenate([decode(x, *book) + (c << 40) for c, book in enumerate(books[dim])], 1)
-                    found.sort(1)
+                        books[dim] = [Code(dim, words, c) for c in range(CODES)]
+                    found = decoded(x, books[dim])
                     for k, i in enumerate(which.tolist()):
                         caps[i], unit[i] = found[k].tolist(), x[k].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("space"), part.column("copies"), pa.array(unit, pa.binary()), pa.array(caps, pa.list_(pa.int64()))], names=["node", "space", "copies", "unit", "caps"])
@@ -74,6 +117,26 @@ def _filtered(vectors: DataFrame) -> DataFrame:
     return vectors.select("node", "space", "copies", "embedding").mapInArrow(run, "node bigint, space bigint, copies bigint, unit binary, caps array<bigint>")
 
 
+def _met_earlier(caps: pa.Array, this: int) -> np.ndarray:
+    """Which pairs of a bucket share a cap of a lower number, a few thousand caps at a time."""
+    n = len(caps)
+    flat = caps.values.to_numpy()
+    row = np.repeat(np.arange(n), np.diff(caps.offsets.to_numpy()))
+    row, flat = row[flat < this], flat[flat < this]
+    value, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[place] > 1
+    row, place = row[shared], np.unique(place[shared], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((n, n), bool)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        s, e = np.searchsorted(place, (at, at + COLUMNS))
+        has = np.zeros((n, min(COLUMNS, int(place[-1]) + 1 - at)), np.float32)
+        has[row[s:e], place[s:e] - at] = 1
+        out |= has @ has.T > 0
+    return out
+
+
 def _linked(group: pa.Table) -> list[list]:
     """Rows (node, null, copies linked) and (node, node, 0: spanning edges), counting a pair in its first common cap only."""
     node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
@@ -86,15 +149,10 @@ def _linked(group: pa.Table) -> list[list]:
     part, i, j = group.column("part").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
     if i != j:
         links &= part[:, None] != part[None, :]
+    if links.any():
+        links &= ~_met_earlier(group.column("caps").combine_chunks(), group.column("cap")[0].as_py())
     if not links.any():
         return [[], [], []]
-    caps = np.array(group.column("caps").to_pylist())
-    earlier = caps < group.column("cap")[0].as_py()
-    columns, place = np.unique(caps[earlier], return_inverse=True)
-    if len(columns):
-        has = np.zeros((n, len(columns)), np.float32)
-        has[np.nonzero(earlier)[0], place] = 1
-        links &= has @ has.T == 0
     counts = links @ copies
     edges = spanning(links, Forest(n))
     some = np.flatnonzero(counts)
@@ -108,27 +166,34 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with
     nothing (component_id their own vec_id). Vectors of different length don't meet. Equal vectors are computed once and
     counted each; repeated rows are links of each other; null vec_ids are larger than any other. Other columns are
-    ignored. Steps: collapse copies, decode caps, join on (label, cap), drop buckets of one, verify in double precision.
+    ignored, an empty table gives no rows. Steps: collapse copies, list-decode all caps above the threshold, join on
+    (label, cap), drop buckets of one, verify in double precision.
     """
+    spark, mark = df.sparkSession, len(WRITTEN)
     double = F.col(embedding).cast("array<double>")
     rows = df.select(F.col(vec_id).cast("long").alias("vec"), double.alias("embedding"), F.col(label).alias("label"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & good, F.lit(False))
     keyed = cut(rows.withColumn("node", F.when(valid, F.xxhash64("label", "embedding"))), "vectors")
-    once = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("vec").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.xxhash64(F.first("label"), F.size(F.first("embedding"))).alias("space"))
+    once = cut(
+        keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("vec").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.xxhash64(F.first("label"), F.size(F.first("embedding"))).alias("space")), "nodes"
+    )
     known = once.select("node", "least", "copies")
-    decoded = cut(_filtered(once), "caps")
-    capped = decoded.select("node", "space", F.explode("caps").alias("cap"))
-    full = capped.withColumn("n", F.expr("count(*) OVER (PARTITION BY space, cap)")).where("n > 1")
-    met = in_blocks(full.join(decoded.select("node", "copies", "unit", "caps"), "node"), "node", "n", BUCKET_PART)
+    found_caps = cut(_filtered(once, codewords(once.count())), "caps")
+    capped = found_caps.select("node", "space", F.explode("caps").alias("cap"))
+    total = found_caps.agg(F.coalesce(F.sum(F.size("caps")), F.lit(0)).cast("long")).first()[0]
+    met = in_blocks(sized(capped, ["space", "cap"], total).join(found_caps.select("node", "copies", "unit", "caps"), "node"), "node", "n", BUCKET_PART)
     found = cut(by_group(met.select("space", "cap", "i", "j", "part", "node", "copies", "unit", "caps"), ["space", "cap", "i", "j"], _linked, "a bigint, b bigint, n bigint"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b").distinct())
-    least = roots.join(known, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    per_node = known.join(counts, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    per_node = per_node.select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    linked = keyed.where("node IS NOT NULL").select("vec", "node").join(per_node, "node").select("vec", "n_links", "component_id")
-    alone = keyed.where("node IS NULL").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
+    roots = cut(components(found.where("b IS NOT NULL").select("a", "b").distinct()), "roots")
+    least = roots.join(known, "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    component_of = join_spread(roots, least, ["root"], roots.count()).select("node", "component_id")
+    per_node = known.join(counts, "node", "left").join(component_of, "node", "left")
+    per_node = cut(per_node.select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"), "copies"), "by_node")
+    ids = keyed.select("vec", "node")
+    linked = join_spread(ids.where("node IS NOT NULL"), per_node, ["node"], ids.count(), "copies").select("vec", "n_links", "component_id")
+    alone = ids.where("node IS NULL").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
+    drop_since(spark, mark, keyed, per_node)
     return linked.unionByName(alone).select(F.col("vec").alias(vec_id), "n_links", "component_id", F.expr("vec <=> component_id").alias("kept"))
 
 

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of tables that ``cut`` wrote and nobody removed yet, in order.
+WRITTEN: list[str] = []
+#: Keys that hold more than this part of all rows are met by broadcast: there are fewer of them than that.
+HOT_KEYS = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and has one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="framelake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -30,14 +41,40 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.framelake_path = path
+    WRITTEN.append(path)
     return back
 
 
-def drop_cut(df: DataFrame) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_cut(*tables: DataFrame) -> None:
     """Remove what ``cut`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.framelake_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        remove(df.sparkSession, df.framelake_path)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Remove what ``cut`` wrote since WRITTEN was ``mark`` long, but for ``keep``."""
+    spared = {df.framelake_path for df in keep}
+    for path in WRITTEN[mark:]:
+        if path not in spared:
+            remove(spark, path)
+
+
+def others(df: DataFrame, *ours: str) -> list[str]:
+    """Columns of ``df`` that aren't named as ours, whatever the case of their letters."""
+    low = {name.lower() for name in ours}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
 def literal(value: str, kind: str):
@@ -48,3 +85,26 @@ def literal(value: str, kind: str):
 def let(value, use):
     """``use(value)`` with ``value`` computed once for a row, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch with about so many bytes of text, or one text, and their texts: Python holds no more at once."""
+    column = batch.column(text)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at), column.slice(at, end - at).to_pylist()
+        at = end
+
+
+def join_spread(rows: DataFrame, values: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """``rows`` (of which there are ``total``) joined with ``values``, which has each key once and in ``n`` how many rows hold it.
+
+    Keys of more than total / HOT_KEYS rows, fewer than HOT_KEYS of them, are broadcast; their rows stay where they are.
+    Only rows of the others are shuffled, so none of the tasks gets a group that grows with the table. ``rows`` is read twice.
+    """
+    least = max(total // HOT_KEYS, 1)
+    met = rows.join(F.broadcast(values.where(F.col(n) > least)), keys, "left")
+    rest = met.where(F.col(n).isNull()).select(*rows.columns).join(values.where(F.col(n) <= least), keys)
+    return met.where(F.col(n).isNotNull()).unionByName(rest)

@@ -9,27 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, join_spread
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> node, root: each node of an edge with the least node it reaches.
 
     Alternating large and small stars, each round written to the shared folder; only a count and a checksum reach the
-    driver. Minima are taken by aggregation before rows are joined to them, so a node with very many neighbours is
-    never gathered. Loops and edges with nulls are ignored.
+    driver. Minima are taken by aggregation, and joined to the rows such that the rows of a node with very many
+    neighbours stay where they are. Loops and edges with nulls are ignored.
     """
     pairs = edges.where("a <> b")
     now = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        upward = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = cut(join_spread(upward, least, ["a"], mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least, ["a"], large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop_cut(now)
+        drop_cut(now, large)
         now, before = new, mark
         mark = _mark(now)
         if mark == before:
@@ -85,6 +86,11 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], list[list
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
 
 
+def sized(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows whose keys occur more than once, with the number of their rows in ``n``; counts are summed before any shuffle."""
+    return join_spread(rows, rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), keys, total)
+
+
 def in_blocks(df: DataFrame, member: str, size: str, most: int) -> DataFrame:
     """Divide groups of more than ``most`` rows: adds part (of the row), i and j, a row for each pair of parts it is in.
 

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .graph import Forest, by_group, components, in_blocks, spanning
+from .common import cut, ddl, drop_since, join_spread, others, slices, table, WRITTEN
+from .graph import Forest, by_group, components, in_blocks, sized, spanning
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band of 24 x 4 with chance 3e-6; it looks less than LEAST_ESTIMATE alike with chance 2e-6.
@@ -17,8 +17,11 @@ REGISTERS = BANDS * ROWS
 LEAST_ESTIMATE = 0.6
 #: Most members of a bucket, and of a cluster, that meet at once; larger ones are divided into parts that meet two by two.
 BUCKET_PART, CLUSTER_PART = 512, 512
+#: Characters of a part of a cluster: very long texts meet in smaller parts.
+PART_CHARS = 4 << 20
 BATCH_WORDS = 300_000
-MOST_WORDS = 250_000
+#: Words that a worker remembers, and letters of one that is worth it; they bound its memory.
+MOST_WORDS, MOST_LETTERS = 250_000, 64
 COLUMNS = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -34,9 +37,12 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
+        found = xxhash.xxh64_intdigest(word) | 1
+        if len(word) > MOST_LETTERS:
+            return found
         if len(self) >= MOST_WORDS:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word) | 1
+        self[word] = found
         return found
 
 
@@ -113,37 +119,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return out
 
 
+def _runs(texts: list[str]) -> list[tuple[int, int]]:
+    """Bounds of runs of texts of about BATCH_WORDS words each."""
+    out, at, words = [], 0, 0
+    for end, text in enumerate(texts):
+        size = len(text) // 5 + 1
+        if end > at and (words + size > BATCH_WORDS or end - at >= 20_000):
+            out.append((at, end))
+            at, words = end, 0
+        words += size
+    return [*out, (at, len(texts))] if texts else []
+
+
 def signed(texts: DataFrame, text: str) -> DataFrame:
-    """``texts`` without the text, with sig (a byte of each register) and bands; null where a text has no words."""
+    """``texts`` without the text, with chars, sig (a byte of each register) and bands; the last two null where a text has no words."""
+    keep = others(texts, text, "chars", "bands", "sig")
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            values = [x or "" for x in batch.column(text).to_pylist()]
-            sizes = [len(x) // 5 + 1 for x in values]
-            at = 0
-            while at < len(values):
-                end, words = at, 0
-                while end < len(values) and (end == at or words + sizes[end] <= BATCH_WORDS) and end - at < 20_000:
-                    words += sizes[end]
-                    end += 1
-                doc, element, weight = shingles(values[at:end], hashes)
-                sig = signatures(doc, element, weight, end - at)
-                some = np.zeros(end - at, bool)
-                some[doc] = True
-                h = np.zeros((end - at, BANDS), np.uint64)
-                for k in range(ROWS):
-                    h = mix((h + sig[:, k::ROWS]) * _A)
-                h = mix(h + np.arange(1, BANDS + 1, dtype=np.uint64) * _C)
-                rest = mix(sig + _A).astype(np.uint8)
-                bands = pa.array([row if ok else None for row, ok in zip(h.view(np.int64).tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))
-                bytes_ = pa.array([row.tobytes() if ok else None for row, ok in zip(rest, some.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in keep), bands, bytes_], names=[*keep, "bands", "sig"])
-                at = end
-
-    keep = [c for c in texts.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
-    return texts.select(*keep, text).mapInArrow(run, f"{fields}, bands array<bigint>, sig binary")
+            for part, values in slices(batch, text):
+                values = [x or "" for x in values]
+                for at, end in _runs(values):
+                    doc, element, weight = shingles(values[at:end], hashes)
+                    sig = signatures(doc, element, weight, end - at)
+                    some = np.zeros(end - at, bool)
+                    some[doc] = True
+                    h = np.zeros((end - at, BANDS), np.uint64)
+                    for k in range(ROWS):
+                        h = mix((h + sig[:, k::ROWS]) * _A)
+                    h = mix(h + np.arange(1, BANDS + 1, dtype=np.uint64) * _C)
+                    rest = mix(sig + _A).astype(np.uint8)
+                    bands = pa.array([row if ok else None for row, ok in zip(h.view(np.int64).tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))
+                    bytes_ = pa.array([row.tobytes() if ok else None for row, ok in zip(rest, some.tolist(), strict=True)], pa.binary())
+                    chars = pa.array([len(x) for x in values[at:end]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(at, end - at) for c in keep), chars, bands, bytes_], names=[*keep, "chars", "bands", "sig"])
+
+    return texts.select(*keep, text).mapInArrow(run, f"{ddl(texts, keep)}, chars bigint, bands array<bigint>, sig binary")
 
 
 def _estimated(group: pa.Table) -> list[list]:
@@ -166,7 +178,11 @@ def _verified(group: pa.Table) -> list[list]:
     n = len(nodes)
     if n < 2:
         return [[], []]
-    doc, element, weight = shingles(texts, WordHashes())
+    hashes, found = WordHashes(), []
+    for at, end in _runs(texts):
+        d, e, w = shingles(texts[at:end], hashes)
+        found.append((d + at, e, w))
+    doc, element, weight = (np.concatenate(x) for x in zip(*found, strict=True))
     bounds = np.searchsorted(doc, np.arange(n + 1))
     size = np.diff(bounds)
     plain = np.ones(n, bool)
@@ -211,34 +227,40 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """doc_id, node, class_id, kept for each row; rows of one class are joined by links of 0.8 or more, or equal texts.
 
     class_id is the least doc_id of a class and kept marks it. Links are exact probability Jaccard of five-word
-    shingles weighted by their counts. Equal texts are one class whatever they hold, empty ones too; a null text is a
-    class by itself (class_id its doc_id); null doc_ids sort after all others; repeated rows are all returned. Other
-    columns are ignored. Steps: collapse copies; sign; bucket by band; drop buckets of one; keep what looks 0.6 alike;
-    cluster; verify all pairs of a cluster that aren't joined yet. Large buckets and clusters are divided into parts
-    that meet two by two, so that no task holds more than two parts.
+    shingles weighted by their counts, over whole texts. Equal texts are one class whatever they hold, empty ones too; a
+    null text is a class by itself (class_id its doc_id); null doc_ids sort after all others; repeated rows are all
+    returned; an empty table gives no rows. Other columns are ignored. Steps: collapse copies; sign; bucket by band;
+    drop buckets of one; keep what looks 0.6 alike; cluster; verify all pairs of a cluster that aren't joined yet.
+    Large buckets and clusters are divided into parts that meet two by two, so that no task holds more than two parts.
     """
+    spark, mark = df.sparkSession, len(WRITTEN)
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
     rows_signed = cut(signed(docs, "text"), "signed")
-    known = rows_signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
-    once = rows_signed.where("bands IS NOT NULL").select("node", "bands", "sig").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    once = cut(once, "once")
-    banded = once.select("node", F.explode("bands").alias("band"))
-    full = banded.withColumn("n", F.expr("count(*) OVER (PARTITION BY band)")).where("n > 1")
+    once = cut(
+        rows_signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+        "once",
+    )
+    known = once.select("node", "least", "copies")
+    banded = once.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    full = sized(banded, ["band"], once.where("bands IS NOT NULL").count() * BANDS)
     met = in_blocks(full.join(once.select("node", "sig"), "node"), "node", "n", BUCKET_PART)
     alike = by_group(met.select("band", "i", "j", "node", "sig"), ["band", "i", "j"], _estimated, "a bigint, b bigint").distinct()
-    clusters = cut(components(alike), "clusters")
-    sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root")
-    chosen = sized.join(known, "node")
+    clusters = cut(components(alike).join(once.select("node", "least", "chars"), "node"), "clusters")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    whole = F.greatest("n", F.ceil(F.col("all_chars") * CLUSTER_PART / PART_CHARS))
     none = F.lit(-(1 << 63)).cast("long")
-    keyed = chosen.select("node", "root", "n", F.coalesce("least", none).alias("doc_key"))
+    keyed = join_spread(clusters, sizes, ["root"], clusters.count()).select("node", "root", whole.alias("size"), F.coalesce("least", none).alias("doc_key"))
     texts = docs.where("node IS NOT NULL").withColumn("doc_key", F.coalesce("doc", none)).select("node", "doc_key", "text")
-    put = in_blocks(keyed.join(texts, ["node", "doc_key"]), "node", "n", CLUSTER_PART)
+    put = in_blocks(keyed.join(texts, ["node", "doc_key"]), "node", "size", CLUSTER_PART)
     links = by_group(put.select("root", "i", "j", "node", "text"), ["root", "i", "j"], _verified, "a bigint, b bigint").distinct()
     joined = cut(components(links), "classes")
-    classes = joined.join(known, "node").groupBy("root").agg(F.min("least").alias("class_id"))
-    by_node = known.join(joined.join(classes, "root").select("node", "class_id"), "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
+    classes = joined.join(known, "node").groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    class_of = join_spread(joined, classes, ["root"], joined.count()).select("node", "class_id")
+    by_node = cut(known.join(class_of, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), "copies"), "by_node")
     rows = rows_signed.select("doc", "node")
-    with_class = rows.where("node IS NOT NULL").join(by_node, "node").unionByName(rows.where("node IS NULL").withColumn("class_id", F.col("doc")))
+    with_class = join_spread(rows.where("node IS NOT NULL"), by_node, ["node"], rows.count(), "copies").drop("copies")
+    drop_since(spark, mark, rows_signed, by_node)
+    with_class = with_class.unionByName(rows.where("node IS NULL").withColumn("class_id", F.col("doc")))
     return with_class.select(F.col("doc").alias(doc_id), "node", "class_id", F.expr("doc <=> class_id").alias("kept"))
 
 

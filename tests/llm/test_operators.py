@@ -146,6 +146,27 @@ def test_large_buckets_are_divided(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in rows(caps.near_vectors(df))} == {(49, 0)}
 
 
+def test_caps_are_all_above_the_threshold_and_near_vectors_share_some():
+    rng = np.random.default_rng(4)
+    code = caps.Code(24, 6, 0)
+    x = rng.standard_normal((50, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = code.near(x)
+    every = (near[:, 0, :, None, None, None] + near[:, 1, None, :, None, None] + near[:, 2, None, None, :, None] + near[:, 3, None, None, None, :]).reshape(50, -1)
+    row, cap = code.decode(x)
+    want = {(i, k) for i, k in zip(*np.nonzero(every >= every.max(1, keepdims=True) - code.margin + 1e-12), strict=True)}
+    assert want <= set(zip(row.tolist(), cap.tolist(), strict=True)) and len(row) == len(set(zip(row.tolist(), cap.tolist(), strict=True))) <= len(want) + 1
+    assert caps.codewords(10) == caps.LEAST_WORDS < caps.codewords(10**6) < caps.codewords(10**8) and caps.codewords(10**15) == caps.MOST_WORDS
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((6000, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)  # as far apart as links go
+    codes = [caps.Code(64, caps.codewords(12_000), c) for c in range(caps.CODES)]
+    found = [[c for at in range(0, 6000, 1000) for c in caps.decoded(v[at : at + 1000], codes)] for v in (x, y)]
+    assert sum(not len(np.intersect1d(a, b)) for a, b in zip(*found, strict=True)) == 0
+
+
 # 4 TIFF
 
 
