@@ -57,21 +57,21 @@ def parse(formatted: Column) -> Column:
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv, n_turns, formatted, parsed (read back from it) and identical.
 
-    Turns go by ``turn``, ties by role and text; repeated rows are turns of their own. Null roles and texts are empty,
-    a null conversation is one like any other, an empty table gives no rows, other columns are ignored. Each turn is
+    Turns go by ``turn`` (nulls first), ties by role and text; repeated rows are turns of their own. Null roles and texts are
+    empty, a null conversation is one like any other, an empty table gives no rows, other columns are ignored. Each turn is
     rendered plainly, parsed, compared, and escaped only if it doesn't come back; the whole is parsed again at the end.
-    A conversation's turns meet in one row because the result is one text; nothing else is gathered.
+    Texts are whole however long they are. A conversation's turns meet in one row because the result is one text; nothing
+    else is gathered.
     """
     source = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    plain = render(F.col("role"), F.col("text"), 0)
-    back = parse(plain)
+    back = parse(render(F.col("role"), F.col("text"), 0))
     same = (F.size(back) == 1) & F.coalesce((back[0].role == F.col("role")) & (back[0].text == F.col("text")), F.lit(False))
     hot = F.contains(F.concat("role", "text"), F.lit("<|")) | F.contains("role", F.lit("\n"))  # others cannot conflict
-    rendered = F.when(~hot, plain).when(same, plain).otherwise(render(F.col("role"), F.col("text"), 1))
-    digest = F.xxhash64("role", "text")
-    turns = source.select("conv", F.struct("turn", "role", rendered.alias("rendered"), digest.alias("digest")).alias("t"))
+    escaped = F.when(~hot, False).otherwise(~same)
+    turns = source.select("conv", F.struct("turn", "role", "text", escaped.alias("escaped")).alias("t"))
     whole = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    out = whole.select("conv", F.size("t").alias("n"), F.transform("t", lambda x: x.digest).alias("was"), F.array_join(F.transform("t", lambda x: x.rendered), "").alias("formatted"))
+    put = lambda x: F.when(x.escaped, render(x.role, x.text, 1)).otherwise(render(x.role, x.text, 0))
+    out = whole.select("conv", F.size("t").alias("n"), F.transform("t", lambda x: F.xxhash64(x.role, x.text)).alias("was"), F.array_join(F.transform("t", put), "").alias("formatted"))
     out = out.withColumn("parsed", parse(F.col("formatted")))
     identical = F.coalesce(F.transform("parsed", lambda x: F.xxhash64(x.role, x.text)) == F.col("was"), F.lit(False))
     return out.select(F.col("conv").alias(conv), F.col("n").cast("long").alias("n_turns"), "formatted", "parsed", identical.alias("identical"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import WRITTEN, cut, ddl, drop_since, join_spread, others, slices, table
 
 #: The kinds of candidates and their patterns, in this order.
 KINDS = ("assign", "access", "hex")
@@ -46,66 +46,73 @@ def candidates(text: str) -> list[dict]:
 
 
 def find_secrets(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with the column spans: candidates of each whole text (none for a null), positions in code points."""
-    keep = [c for c in df.columns if c not in (text, "spans")]
+    """``df`` with the column spans: candidates of each whole text (none for a null), positions in code points.
+
+    Columns named spans, in whatever case, give way; an empty table stays empty.
+    """
+    keep = others(df, text, "spans")
+    columns = [*keep, *[text] * keep_text]
 
     def run(batches):
         for batch in batches:
-            spans = pa.array([candidates(x) if x else [] for x in batch.column(text).to_pylist()], ARROW)
-            columns = [*keep, *[text] * keep_text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), spans], names=[*columns, "spans"])
+            for part, texts in slices(batch, text):
+                spans = pa.array([candidates(x) if x else [] for x in texts], ARROW)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), spans], names=[*columns, "spans"])
 
-    fields = [*df.select(*keep).schema, *([df.schema[text]] if keep_text else [])]
-    return df.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"spans {SPANS}"]))
+    return df.select(*keep, text).mapInArrow(run, f"{ddl(df, columns)}, spans {SPANS}" if columns else f"spans {SPANS}")
 
 
-def ownership(hits: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """hash, n_repositories, n_owners over all rows of ``hits``; copies are summed up before any shuffle by hash alone."""
-    each = hits.select(repository.alias("repository"), owner.alias("owner"), F.explode(F.array_distinct(F.transform("spans", lambda x: x.hash))).alias("hash")).distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+def ownership(each: DataFrame) -> DataFrame:
+    """hash, n_repositories, n_owners and n (rows) of a table with hash, repository and owner, summed up before any shuffle by hash alone."""
+    by_owner = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n"))
 
 
 def scan_secrets(df: DataFrame, repository: Column, owner: Column, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` with the column secrets: array of struct(start, kind, end, value_start, verdict) by start and kind.
 
     A value's verdict is the same wherever it occurs: example if COMMON_OWNERS distinct owners or COMMON_REPOSITORIES
-    distinct repositories hold it, else plain if its entropy is low, else live. Null texts have no secrets, null owners
-    and repositories are one value each, repeated rows count once for an owner, an empty table stays empty. The columns
-    spans, secrets and row_key are ours. Only rows with candidates are shuffled, each by a key of its own.
+    distinct repositories hold it, else plain if its entropy is low, else live. Whole texts are searched, once. Null texts
+    have no secrets, null owners and repositories are one value each, repeated rows count once for an owner, an empty table
+    stays empty. The columns spans, secrets, row_key, repository_key and owner_key are ours, in whatever case. Only rows
+    with candidates are shuffled, each by a key of its own; a value that very many rows hold stays where they are.
     """
-    found = find_secrets(df.drop("secrets", "row_key"), text, keep_text)
-    hits = cut(found.where(F.size("spans") > 0).withColumn("row_key", F.monotonically_increasing_id()), "secrets")
-    owners = ownership(hits, F.coalesce(repository, F.lit("")), F.coalesce(owner, F.lit("")))
-    each = hits.select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*").join(owners, "hash")
+    spark, mark = df.sparkSession, len(WRITTEN)
+    ours = ("secrets", "row_key", "repository_key", "owner_key")
+    kept = others(df, *ours, "spans")
+    keyed = df.select(*kept, F.coalesce(repository.cast("string"), F.lit("")).alias("repository_key"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner_key"))
+    found = cut(find_secrets(keyed, text, keep_text).withColumn("row_key", F.monotonically_increasing_id()), "secrets")
+    hits = found.where(F.size("spans") > 0)
+    each = cut(hits.select("row_key", F.col("repository_key").alias("repository"), F.col("owner_key").alias("owner"), F.explode("spans").alias("s")).select("row_key", "repository", "owner", "s.*"), "spans")
     common = (F.col("n_owners") >= COMMON_OWNERS) | (F.col("n_repositories") >= COMMON_REPOSITORIES)
     verdict = F.when(common, EXAMPLE).when(F.col("bits") < LEAST_BITS, PLAIN).otherwise(LIVE)
-    told = each.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value_start", verdict.alias("verdict")))).alias("secrets"))
-    judged = hits.join(told, "row_key").drop("row_key", "spans")
+    known = join_spread(each.drop("repository", "owner"), ownership(each), ["hash"], each.count())
+    told = cut(known.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value_start", verdict.alias("verdict")))).alias("secrets")), "told")
+    drop_since(spark, mark, found, told)
+    gone = ("row_key", "spans", "repository_key", "owner_key")
     none = F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,value_start:bigint,verdict:string>>)")
-    return judged.unionByName(found.where(F.size("spans") == 0).withColumn("secrets", none).drop("spans"))
+    return hits.join(told, "row_key").drop(*gone).unionByName(found.where(F.size("spans") == 0).withColumn("secrets", none).drop(*gone))
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Put ``mark`` for each value judged live, examples stay; drops the column secrets. Overlapping values are one."""
-    keep = [c for c in df.columns if c not in (text, "secrets")]
+    """Put ``mark`` for each value judged live, examples stay; drops the column secrets. Overlapping values are one; null texts stay null."""
+    keep = others(df, text, "secrets")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for value, secrets in zip(batch.column(text).to_pylist(), batch.column("secrets").to_pylist(), strict=True):
-                at, parts = 0, []
-                for s, e in sorted((x["value_start"], x["end"]) for x in secrets or () if x["verdict"] == LIVE):
-                    if s >= at:
-                        parts += [value[at:s], mark]
-                    at = max(at, e)
-                out.append(value if not parts else "".join([*parts, value[at:]]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
+            for part, texts in slices(batch, text):
+                out = []
+                for value, secrets in zip(texts, part.column("secrets").to_pylist(), strict=True):
+                    at, parts = 0, []
+                    for s, e in sorted((x["value_start"], x["end"]) for x in secrets or () if x["verdict"] == LIVE):
+                        if s >= at:
+                            parts += [value[at:s], mark]
+                        at = max(at, e)
+                    out.append(value if not parts else "".join([*parts, value[at:]]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
 
     clean = df.where(F.size("secrets") == 0).select(*keep, text)
-    fields = [*df.select(*keep, text).schema]
-    dirty = df.where(F.size("secrets") > 0).select(*keep, text, "secrets").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
-    return clean.unionByName(dirty)
+    return clean.unionByName(df.where(F.size("secrets") > 0).select(*keep, text, "secrets").mapInArrow(run, ddl(df, [*keep, text])))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ddl, others, slices, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, ROWS_PER_PAGE, TILE = 192, 256, (64, 16)
+#: Samples of the largest page that is read; beyond, a few stored bytes could ask for any amount of memory.
+MOST_PIXELS = 1 << 28
 #: Field types of an image directory: size in bytes and struct letter.
 TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 16: (8, "Q"), 17: (8, "q")}
-MOST_PIXELS = 1 << 28
 
 
 class TiffError(ValueError):
@@ -68,8 +69,8 @@ def lzw(data: bytes) -> bytes:
     """LZW as TIFF has it: codes from 9 bits, most significant bit first, one code early."""
     bits = held = 0
     out = bytearray()
-    codes: dict[bytes, int] = {}
-    width, prefix = 9, b""
+    codes: dict[int, int] = {}  # code of a string << 8 | next byte -> code of both
+    width = 9
 
     def put(code: int) -> None:
         nonlocal bits, held
@@ -82,27 +83,28 @@ def lzw(data: bytes) -> bytes:
     def fresh() -> None:
         nonlocal codes, width
         put(256)
-        codes, width = {bytes([i]): i for i in range(256)}, 9
+        codes, width = {}, 9
 
     fresh()
-    size = 258
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if prefix + c in codes:
-            prefix += c
-            continue
-        put(codes[prefix])
-        codes[prefix + c] = size
-        size += 1
-        if size + 1 > 1 << width:
-            width += 1
-        if size >= 4094:
-            width = 12
-            fresh()
-            size = 258
-        prefix = c
-    if prefix:
-        put(codes[prefix])
+    size, prefix = 258, -1
+    for c in data:
+        if prefix < 0:
+            prefix = c
+        elif (longer := codes.get(key := prefix << 8 | c)) is not None:
+            prefix = longer
+        else:
+            put(prefix)
+            codes[key] = size
+            size += 1
+            if size + 1 > 1 << width:
+                width += 1
+            if size >= 4094:
+                width = 12
+                fresh()
+                size = 258
+            prefix = c
+    if prefix >= 0:
+        put(prefix)
         if size + 2 > 1 << width and width < 12:
             width += 1
     put(257)
@@ -113,36 +115,47 @@ def lzw(data: bytes) -> bytes:
 
 def unlzw(data: bytes) -> bytes:
     out: list[bytes] = []
-    words: list[bytes] = []
     base = [bytes([i]) for i in range(256)] + [b"", b""]
+    words: list[bytes] = []
     held = bits = 0
-    width, last = 9, b""
+    width, mask, full, last = 9, 511, 511, b""
+    add, emit = words.append, out.append
     for byte in data:
-        held, bits = ((held << 8) | byte) & 0xFFFFFFFF, bits + 8
+        held = (held << 8 | byte) & 0xFFFFFF
+        bits += 8
         if bits < width:
             continue
         bits -= width
-        code = (held >> bits) & ((1 << width) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            words, width, last = base.copy(), 9, b""
-            continue
-        if not words:
-            raise TiffError("LZW data doesn't start with a clear code")
-        if not last:
-            if code > 255:
+        code = held >> bits & mask
+        if code < 256 or code > 257:
+            if last:
+                known = len(words)
+                if code < known:
+                    word = words[code]
+                    add(last + word[:1])
+                elif code == known:
+                    word = last + last[:1]
+                    add(word)
+                else:
+                    raise TiffError("LZW code out of range")
+            elif not words:
+                raise TiffError("LZW data doesn't start with a clear code")
+            elif code > 255:
                 raise TiffError("LZW code out of range")
-            word = words[code]
+            else:
+                word = words[code]
+            emit(word)
+            last = word
+            if len(words) >= full and width < 12:
+                width += 1
+                mask = (1 << width) - 1
+                full = mask
+        elif code == 257:
+            break
         else:
-            if code > len(words):
-                raise TiffError("LZW code out of range")
-            word = words[code] if code < len(words) else last + last[:1]
-            words.append(last + word[:1])
-        out.append(word)
-        last = word
-        if len(words) + 1 >= 1 << width and width < 12:
-            width += 1
+            words = base.copy()
+            add = words.append
+            width, mask, full, last = 9, 511, 511, b""
     return b"".join(out)
 
 
@@ -268,91 +281,106 @@ def _page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     return out
 
 
-def pages(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
-    """Walk the directories of a TIFF: the tags and the pixels of each page. Loops and cuts raise TiffError."""
-    if len(data) < 8 or data[:2] not in (b"II", b"MM"):
-        raise TiffError("no TIFF header")
-    order = "<" if data[:2] == b"II" else ">"
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise TiffError("no TIFF header")
-    seen: set[int] = set()
-    while at:
-        if at in seen:
-            raise TiffError("directories form a loop")
-        seen.add(at)
-        tags, at = _fields(data, at, order)
-        try:
-            yield tags, _page(data, tags)
-        except (zlib.error, struct.error) as error:
-            raise TiffError(str(error)) from error
+def directories(data: bytes) -> tuple[list[dict[int, tuple]], str | None]:
+    """Walk the image directories of a TIFF: the tags of each, and what ended the walk early (a loop, a cut), if anything did."""
+    found: list[dict[int, tuple]] = []
+    try:
+        if len(data) < 8 or data[:2] not in (b"II", b"MM"):
+            raise TiffError("no TIFF header")
+        order = "<" if data[:2] == b"II" else ">"
+        magic, at = struct.unpack_from(order + "HI", data, 2)
+        if magic != 42:
+            raise TiffError("no TIFF header")
+        seen: set[int] = set()
+        while at:
+            if at in seen:
+                raise TiffError("directories form a loop")
+            seen.add(at)
+            tags, at = _fields(data, at, order)
+            found.append(tags)
+    except TiffError as error:
+        return found, str(error)
+    return found, None
+
+
+def pixels(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
+    """(rows, columns, samples) of the image that a directory describes; raises TiffError where that can't be read."""
+    try:
+        return _page(data, tags)
+    except (zlib.error, struct.error, TypeError, ValueError) as error:
+        raise error if isinstance(error, TiffError) else TiffError(str(error)) from error
+
+
+#: How a page can be stored: coding, predictor, rows of a strip or a tile, samples.
+FORMS = (
+    {"compression": PACKBITS, "predictor": 1, "rows": 64, "samples": 3},
+    {"compression": LZW, "predictor": 2, "rows": 64, "samples": 3},
+    {"compression": DEFLATE, "predictor": 2, "tile": TILE, "samples": 1},
+    {"compression": PACKBITS, "predictor": 1, "tile": TILE, "samples": 1},
+    {"compression": LZW, "predictor": 1, "tile": TILE, "samples": 1},
+    {"compression": DEFLATE, "predictor": 2, "rows": 128, "samples": 3},
+)
 
 
 def from_payload(payload: bytes) -> bytes:
-    """A payload (a positive multiple of 192 bytes) as pages of up to 256 rows, each stored in one of four ways.
+    """A payload (a positive multiple of 192 bytes) as pages of up to 256 rows.
 
-    A single row is one LZW strip with predictor; longer ones alternate between PackBits strips of 64 rows (RGB),
-    deflate tiles of 64 x 16 with predictor (gray) and deflate strips of 128 rows with predictor (RGB).
+    A checksum of the payload and the number of the page choose one of FORMS, whatever the size: each form takes its share of
+    the bytes, pages of one payload take turns, and equal payloads give equal files.
     """
     gray = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 1)
-    out = []
+    first, out = zlib.crc32(payload), []
     for k, y in enumerate(range(0, len(gray), ROWS_PER_PAGE)):
+        form = FORMS[(first + k) % len(FORMS)]
         px = gray[y : y + ROWS_PER_PAGE]
-        rgb = px.reshape(len(px), WIDTH // 3, 3)
-        if len(gray) == 1:
-            out.append({"pixels": rgb, "compression": LZW, "predictor": 2, "rows": 1})
-        elif k % 3 == 0:
-            out.append({"pixels": rgb, "compression": PACKBITS, "predictor": 1, "rows": 64})
-        elif k % 3 == 1:
-            out.append({"pixels": px, "compression": DEFLATE, "predictor": 2, "tile": TILE})
-        else:
-            out.append({"pixels": rgb, "compression": DEFLATE, "predictor": 2, "rows": 128})
+        out.append(form | {"pixels": px.reshape(len(px), WIDTH // form["samples"], form["samples"])})
     return write(out)
 
 
 PAGE = pa.schema([("page", pa.int32()), ("pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
 PAGE_DDL = "page int, pages int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
-#: Bytes of pixels in one batch of results at most, but for a single page.
-BATCH_BYTES = 16 << 20
+#: Bytes of pixels, and of texts, in one batch at most, but for a single page or text.
+BATCH_BYTES = 4 << 20
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page: the other columns of ``df``, then page (from 0), pages, sizes, coding, pixels and error.
 
-    Pages of one file stay together and in order, in the partition of their row. Null media give no rows; bytes that
-    are no TIFF, or break off, give the pages before the damage and a row with error set (pixels null); repeated rows
-    are read again. Columns of ``df`` named as ours give way to ours.
+    Pages of one file stay together and in order, in the partition of their row, and are sent on as they are read. Null
+    media give no rows, an empty table gives none; a page that can't be read is a row with error set (pixels null) and the
+    pages after it are read; so is what cuts the chain of directories short, as the last row. Repeated rows are read again.
+    Pages of more than MOST_PIXELS samples are an error. Columns of ``df`` named as ours, in whatever case, give way.
     """
-    ours = {f.name for f in PAGE}
-    keep = [c for c in df.columns if c != media and c not in ours]
+    keep = others(df, media, *PAGE.names)
 
     def run(batches):
         for batch in batches:
             kept = batch.select(keep)
             origin, rows, held = [], [], 0
             for i, data in enumerate(batch.column(media)):
-                data = data.as_py()
-                if data is None:
+                if (data := data.as_py()) is None:
                     continue
-                mine = []
-                try:
-                    for k, (tags, px) in enumerate(pages(data)):
-                        mine.append([k, 0, px.shape[1], px.shape[0], px.shape[2], tags.get(259, (1,))[0], tags.get(317, (1,))[0], 322 in tags, px.tobytes(), None])
-                except TiffError as error:
-                    mine.append([len(mine), 0, None, None, None, None, None, None, None, str(error)])
-                for row in mine:
-                    row[1] = len(mine)
-                    held += len(row[8] or b"")
-                origin += [i] * len(mine)
-                rows += mine
-                if held >= BATCH_BYTES:
-                    yield _joined(kept, origin, rows)
-                    origin, rows, held = [], [], 0
+                found, ended = directories(data)
+                total = len(found) + (ended is not None)
+                for k, tags in enumerate(found):
+                    one = lambda tag: tags.get(tag, (1,))[0]
+                    try:
+                        px = pixels(data, tags)
+                        rows.append([k, total, px.shape[1], px.shape[0], px.shape[2], one(259), one(317), 322 in tags, px.tobytes(), None])
+                        held += px.size
+                    except TiffError as error:
+                        rows.append([k, total, *[None] * 7, str(error)])
+                    origin.append(i)
+                    if held >= BATCH_BYTES:
+                        yield _joined(kept, origin, rows)
+                        origin, rows, held = [], [], 0
+                if ended is not None:
+                    rows.append([total - 1, total, *[None] * 7, ended])
+                    origin.append(i)
             if rows:
                 yield _joined(kept, origin, rows)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), PAGE_DDL])
-    return df.select(*keep, media).mapInArrow(run, schema)
+    return df.select(*keep, media).mapInArrow(run, ", ".join(filter(None, [ddl(df, keep), PAGE_DDL])))
 
 
 def _joined(kept: pa.RecordBatch, origin: list[int], rows: list[list]) -> pa.RecordBatch:
@@ -364,24 +392,19 @@ def _joined(kept: pa.RecordBatch, origin: list[int], rows: list[list]) -> pa.Rec
 def text_to_tiff(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without the text, with n_bytes (of its UTF-8) and media (a TIFF of it, padded with spaces to a positive multiple of 192).
 
-    Null texts are empty; equal texts give equal bytes.
+    Whole texts, however long; null texts are empty; equal texts give equal bytes; an empty table stays empty. Columns named
+    n_bytes or media, in whatever case, give way.
     """
-    keep = [c for c in df.columns if c not in (text, "n_bytes", "media")]
+    keep = others(df, text, "n_bytes", "media")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text)
-            for i in range(0, max(len(texts), 1), 256):
-                sizes, media = [], []
-                for value in texts.slice(i, 256):
-                    raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                    sizes.append(len(raw))
-                    media.append(from_payload(raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b" ")))
-                left = batch.select(keep).slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "n_bytes bigint, media binary"])
-    return df.select(*keep, text).mapInArrow(run, schema)
+            for part, texts in slices(batch, text, BATCH_BYTES):
+                raws = [(value or "").encode("utf-8", "surrogatepass") for value in texts]
+                media = [from_payload(raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b" ")) for raw in raws]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(list(map(len, raws)), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
+
+    return df.select(*keep, text).mapInArrow(run, ", ".join(filter(None, [ddl(df, keep), "n_bytes bigint, media binary"])))
 
 
 DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
