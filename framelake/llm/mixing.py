@@ -1,33 +1,36 @@
 """Mixing sources to target weights: posteriors of a labelled-table classifier, and document rates by projected gradient.
 
 Domains are what labels say (good, poor, toxic); a document belongs to each by its posterior. Rates r >= 0 minimize
-(A r - target)' W (A r - target) with A_di = tokens_i p_id. A gradient step changes a rate by its posteriors alone, so a rate is a
-function of a row and of the few residuals so far: nothing but those residuals reaches the driver, and no rate is stored.
-The weighting is the inverse of the domains' Gram matrix, over the rows above 0 while that helps, which makes the step
-length 1 and the rounds few.
+|A r - targets|^2 with A_di = tokens_i p_id, in shares of all tokens. A gradient step, scaled by a row's tokens, changes a rate by
+the row's posterior alone: rows of equal posterior have equal rates, and a rate follows from the few steps so far. So rows
+are summed up by posterior once, and nothing but sums over those groups reaches the driver.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, literal, table
+from .common import WRITTEN, cut, drop_cut, drop_since, let, literal, table
 
 #: Bound of the labelled rows that the classifier is fitted on, for each domain, by hash of doc_id.
 SAMPLE_PER_DOMAIN = 4_000
 #: Words that tell a domain: so many at most, so much likelier there than elsewhere.
 MOST_WORDS, LEAST_RATIO = 64, 5.0
 #: Target shares of tokens.
-TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
-ROUNDS, TOLERANCE = 60, 1e-3
-#: A round that grows the targets must leave so much of the miss at most.
-SLOWEST = 0.95
+TARGETS = {"good": 0.60, "poor": 0.38, "toxic": 0.02}
+#: A miss, as a share of all tokens, that is as good as none, and a projected gradient step that is as good as no move.
+MISS, MOVE = 1e-3, 1e-7
+#: Most steps, and most Newton rounds to find one; how long the first step is, in lengths of an explicit one, and how steps grow.
+STEPS, ROUNDS, FIRST_STEP, LONGER = 10, 30, 100.0, 10.0
+#: Parts of a Newton step that are tried.
+PARTS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 #: Posteriors are those of the classifier to this power: its features are not independent.
 TEMPER = 0.7
 SYMBOLS = "*#$%&|!"
@@ -52,10 +55,12 @@ def _words(text: Column) -> Column:
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (value >= c).cast("int")
-    return out
+    """How many of the sorted cuts a value reaches; the value is computed once."""
+
+    def reached(x: Column) -> Column:
+        return sum(((x >= c).cast("int") for c in cuts), F.lit(0))
+
+    return let(value, reached)
 
 
 def measured(df: DataFrame, telling: dict[str, list[str]], text: str = "text") -> DataFrame:
@@ -92,13 +97,17 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> Classifier:
-    """A naive Bayes classifier of binned features, among them words that tell a domain; counts only reach the driver."""
-    rows = labels.select("doc_id", domain().alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL")
+    """A naive Bayes classifier of binned features, among them words that tell a domain; counts only reach the driver.
+
+    Of a doc_id that occurs more than once the least text counts, so the sample is as bounded as the labels picked for it.
+    """
+    rows = labels.select("doc_id", domain().alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL").distinct()
     picked = None
     for d in wanted:
         one = rows.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_DOMAIN)
         picked = one if picked is None else picked.unionByName(one)
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "sample")
+    matched = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = cut(matched.groupBy("doc_id", "domain").agg(F.min("text").alias("text")), "sample")
     sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     domains = [d for d in wanted if d in sizes] or wanted[:1]
     total = sum(sizes.values()) or 1
@@ -109,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: list[str]) -> Classifier:
         others = sum((F.col(o) for o in domains if o != d), F.lit(0))
         gain = F.col(d) / sizes.get(d, 1) - others / max(total - sizes.get(d, 0), 1)
         telling[d] = [r.word for r in counts.where(F.col(d) >= 3).where((F.col(d) + 0.5) * (total - sizes.get(d, 0)) >= LEAST_RATIO * (others + 0.5) * sizes.get(d, 1)).orderBy(F.desc(gain * F.log((F.col(d) + 0.5) / (others + 0.5) * (total / sizes.get(d, 1)))), "word").limit(MOST_WORDS).collect()] if len(domains) > 1 else []
-    bins = measured(sample, telling).select("domain", F.posexplode("mix_bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").count().collect()
+    binned = cut(measured(sample, telling).select("domain", "mix_bins"), "binned")
+    bins = binned.select("domain", F.posexplode("mix_bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").count().collect()
+    drop_cut(sample, binned)
     seen = {(r.domain, r.feature, r.bin): r["count"] for r in bins}
     table = [[[math.log((seen.get((d, k, b), 0) + 1) / (sizes.get(d, 0) + len(cuts) + 1)) for d in domains] for b in range(len(cuts) + 1)] for k, cuts in enumerate(BINS.values())]
     shares = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
@@ -128,82 +139,105 @@ def rate(posterior: Column, steps: list[list[float]], least: float = 0.0) -> Col
 
 @dataclass
 class Solution:
+    """Steps that lead from rates of 1 to the solution, target and reached shares of the tokens there were, the largest miss, and whether it is a minimum."""
+
     steps: list[list[float]]
     targets: list[float]
     reached: list[float]
+    miss: float
+    converged: bool
 
 
-def solve(rows: DataFrame, weights: list[float], total: float | None = None, keep: bool = False) -> Solution:
-    """Projected-gradient least squares over ``rows`` (mix_tokens, mix_posterior); one aggregation for each round.
+def solve(rows: DataFrame, weights: list[float], total: float = 1.0, keep: bool = False, miss: float = MISS) -> Solution:
+    """Projected-gradient least squares over ``rows`` (mix_tokens, mix_posterior).
 
-    Without a total the targets add up to the tokens there are. With ``keep`` rates are 1 or more and the targets the least
-    multiple of the weights that no domain is above: as rows belong a little to each domain, it grows with the steps.
+    Minimizes |A r - total * shares|^2 over r >= 0, in shares of all tokens there are. With ``keep`` r >= 1 and the total is what
+    comes of it: |A r - shares * sum(A r)|^2. Steps are implicit: each goes against the gradient where it ends, which holds for
+    any length, so that a few long steps do what thousands of explicit ones would. Where that is, is an equation in as many
+    unknowns as there are domains, solved by Newton's method; each of its rounds is one aggregation over the groups of rows.
+    It ends where the targets are missed by ``miss`` at most or a projected gradient step no longer moves.
     """
     n, least = len(weights), 1.0 if keep else 0.0
+    share = np.array(weights) / sum(weights)
+    groups = cut(rows.groupBy("mix_posterior").agg(F.sum("mix_tokens").cast("double").alias("t")), "groups")
+    every = groups.agg(F.sum("t")).first()[0]
+    if not every:
+        drop_cut(groups)
+        return Solution([], (total * share).tolist(), [0.0] * n, 0.0, True)
+    shape, goal = (np.eye(n) - np.outer(share, np.ones(n)), np.zeros(n)) if keep else (np.eye(n), total * share)
+    t = F.col("t") / F.lit(every)
     p = [F.get(F.col("mix_posterior"), F.lit(d)) for d in range(n)]
-    t = F.col("mix_tokens").cast("double")
-    first = rows.agg(*[F.sum(t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(t * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
-    have = [first[f"t{d}"] or 0.0 for d in range(n)]
-    share = [w / sum(weights) for w in weights]
-    total = max(h / s for h, s in zip(have, share, strict=True)) if keep else total or sum(have)
-    targets = [total * s for s in share]
-    gram = np.array([[first[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)])
-    def tried(steps: list[list[float]]) -> tuple[list[float], np.ndarray, float]:
-        """Totals at these steps, the Gram matrix of the rows that aren't held at the least rate, and the relative miss."""
-        live = F.when(F.col("r") > least, t)
-        got = rows.withColumn("r", rate(F.col("mix_posterior"), steps, least)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"t{d}") for d in range(n)], *[F.sum(live * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n)]).first()
-        totals = [got[f"t{d}"] or 0.0 for d in range(n)]
-        return totals, np.array([[got[f"g{d}_{e}"] or 0.0 for e in range(n)] for d in range(n)]), miss(totals)
-
-    miss = lambda totals: max(abs(a - b) / max(b, 1.0) for a, b in zip(totals, targets, strict=True))
-    toward = lambda metric: np.linalg.lstsq(metric, np.subtract(reached, targets), rcond=1e-12)[0].tolist()
+
+    def tried(steps: list[list[float]], ways: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each way on from where the steps lead: totals, the Gram matrix of the rows above the least rate, how far rows move."""
+        way = F.posexplode(literal(json.dumps([list(map(float, h)) for h in ways]), "array<array<double>>")).alias("k", "h")
+        moved = sum(p[d] * F.get(F.col("h"), F.lit(d)) for d in range(n))
+        there = groups.select("mix_posterior", "t", rate(F.col("mix_posterior"), steps, least).alias("r"), way).withColumn("x", F.col("r") - moved)
+        after, free = F.greatest(F.lit(least), F.col("x")), F.when(F.col("x") > least, t).otherwise(0.0)
+        sums = [F.sum(after * t * p[d]) for d in range(n)] + [F.sum(free * p[d] * p[e]) for d in range(n) for e in range(n)] + [F.sqrt(F.sum(t * (after - F.col("r")) ** 2))]
+        found = {row.k: row.sums for row in there.groupBy("k").agg(F.array(*sums).alias("sums")).collect()}
+        return [(np.array(x[:n]), np.array(x[n:-1]).reshape(n, n), x[-1]) for x in (found[k] for k in range(len(ways)))]
+
     steps: list[list[float]] = []
-    reached, live, error = have, gram, miss(have)
-    for _ in range(ROUNDS):
-        if error <= TOLERANCE:
+    (reached, gram, _), converged = tried(steps, [np.zeros(n)])[0], False
+    steepest = 1.0 if keep else max(float(np.linalg.eigvalsh(gram).max()), 1e-12)  # all rows are free to begin with, or held at 1
+    for k in range(STEPS):
+        off = shape @ reached - goal
+        if converged := np.abs(off).max() <= miss or tried(steps, [shape.T @ off / steepest])[0][2] <= MOVE:
             break
-        found = tried([*steps, step := toward(live)])
-        if found[2] >= error:  # too long a step: the metric of all rows never overshoots
-            found = tried([*steps, step := toward(gram)])
-        if keep:
-            before = targets
-            total = max(total, *(r / s for r, s in zip(found[0], share, strict=True)))
-            targets = [total * s for s in share]
-            found = (*found[:2], miss(found[0]))
-            if found[2] > SLOWEST * error:  # out of reach: copies would grow without end
-                targets = before
+        length = FIRST_STEP * LONGER**k / steepest
+        step = np.zeros(n)
+        gap = lambda h, totals: h - length * shape.T @ (shape @ totals - goal)  # noqa: E731  0 where the step is right
+        totals, free, _ = tried(steps, [step])[0]
+        for _ in range(ROUNDS):
+            if np.linalg.norm(gap(step, totals)) <= 1e-9 * length:
                 break
-        steps.append(step)
-        reached, live, error = found
-    return Solution(steps, targets, reached)
+            toward = np.linalg.solve(np.eye(n) + length * shape.T @ shape @ free, gap(step, totals))
+            ways = [step - part * toward for part in PARTS]
+            found = tried(steps, ways)
+            best = min(range(len(ways)), key=lambda i: float(np.linalg.norm(gap(ways[i], found[i][0]))))
+            step, (totals, free, _) = ways[best], found[best]
+        steps.append(step.tolist())
+        reached = totals
+    drop_cut(groups)
+    if not converged:
+        warnings.warn(f"mixing stopped after {STEPS} steps short of a minimum", stacklevel=2)
+    ends = share * reached.sum() if keep else goal
+    return Solution(steps, ends.tolist(), reached.tolist(), float(np.abs(reached - ends).max()), converged)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False, drop_text: bool = False) -> DataFrame:
-    """``docs`` with mix_tokens, mix_posterior, mix_rate and mix_copies (times to use the document).
+    """``docs`` with mix_tokens, mix_posterior, mix_rate, mix_copies (times to use the document) and mix_miss.
 
     Copies are the rate rounded up or down by a hash of the row, in expectation the rate itself; with ``keep`` rates are
-    1 or more, so every row is used once at least; with ``drop_text`` texts are read once and left out. Null and empty texts
-    have no tokens; equal rows get equal answers; a domain without labelled rows is left out and its weight dealt to the
-    others; without any labels all rates are 1. Columns with the prefix mix_ are ours; an empty table stays empty.
+    1 or more, so every row is used once at least; with ``drop_text`` texts are left out. mix_miss is by how much the
+    rates miss a domain's target at most, as a share of all tokens: targets that no rates reach are approached, in least squares.
+    Texts are read once, whole. Null and empty texts have no tokens; equal rows get equal answers; a domain without labelled
+    rows is left out and its weight dealt to the others; without any labels all rates are 1. Columns with the prefix mix_, in
+    whatever case, are ours; an empty table stays empty.
     """
+    spark, mark = docs.sparkSession, len(WRITTEN)
     targets = targets or TARGETS
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    docs = docs.select(*[c for c in docs.columns if not c.lower().startswith("mix_")])
     model = fit(docs, labels, list(targets))
     even = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 11) / F.lit(float(1 << 53))
     with_p = measured(docs, model.telling).withColumns({"mix_posterior": model.posterior(F.col("mix_bins")), "mix_even": even}).drop("mix_bins")
-    rows = cut(with_p.drop("text") if drop_text else with_p.select("mix_tokens", "mix_posterior"), "posteriors")
-    found = solve(rows.where("mix_tokens > 0"), [targets[d] for d in model.domains], keep=keep) if len(model.domains) > 1 else Solution([], [], [])
-    out = (rows if drop_text else with_p).withColumn("mix_rate", rate(F.col("mix_posterior"), found.steps, 1.0 if keep else 0.0))
+    rows = cut(with_p.drop("text") if drop_text else with_p, "posteriors")
+    weights = [targets[d] for d in model.domains]
+    found = solve(rows.where("mix_tokens > 0"), weights, keep=keep) if len(weights) > 1 and sum(weights) > 0 else Solution([], [], [], 0.0, True)
+    drop_since(spark, mark, rows)
+    out = rows.withColumns({"mix_rate": rate(F.col("mix_posterior"), found.steps, 1.0 if keep else 0.0), "mix_miss": F.lit(found.miss)})
     return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + F.col("mix_even")).cast("int")).drop("mix_even")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row as many times as mix_copies says, without our columns."""
     rows = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
-    return rows.drop(*[c for c in rows.columns if c.startswith("mix_")])
+    return rows.select(*[c for c in rows.columns if not c.startswith("mix_")])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate and copies of every document."""
+    """Rate and copies of every document, and by how much the targets are missed."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), drop_text=True)
-    return out.select("doc_id", F.col("mix_tokens").alias("tokens"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+    names = {"tokens": "mix_tokens", "posterior": "mix_posterior", "rate": "mix_rate", "copies": "mix_copies", "miss": "mix_miss"}
+    return out.select("doc_id", *[F.col(v).alias(k) for k, v in names.items()])

@@ -71,32 +71,68 @@ def test_mix_meets_targets(spark):
     assert set(again) == {r["doc_id"] for r in got} and again == Counter({r["doc_id"]: 0 for r in got}) + Counter({k: v for r in rows(kept) for k, v in [(r["doc_id"], r["mix_copies"])]})
 
 
-def test_mix_solver_is_projected_least_squares(spark):
+def plain_rates(p, t, goal, least, homogeneous):
+    """Projected gradient, plainly and for long, over all rows."""
+    t = t / t.sum()
+    share = goal / goal.sum()
+    a = (p * t[:, None]).T
+    if homogeneous:
+        a, goal = a - np.outer(share, a.sum(0)), np.zeros(len(goal))
+    scaled = a / np.sqrt(t)  # rates times the root of their tokens: steps go by posteriors
+    step = 1 / np.linalg.norm(scaled @ scaled.T, 2)
+    r = np.ones(len(t))
+    for _ in range(20_000):
+        r = np.maximum(least, r - step * (a.T @ (a @ r - goal)) / t)
+    return r, ((a @ r - goal) ** 2).sum()
+
+
+@pytest.mark.parametrize(("goal", "least"), [([0.9, 0.1], 0), ([0.1, 0.9], 0), ([0.0, 1.0], 0), ([0.7, 0.3], 1), ([0.02, 0.98], 1), ([0.2, 0.5, 0.3], 0), ([1.0, 0.0, 0.0], 0), ([0.9, 0.08, 0.02], 1)])
+def test_mix_solver_is_least_squares_where_bounds_bind_too(spark, goal, least):
     rng = np.random.default_rng(1)
-    p = rng.dirichlet([0.5, 0.5, 0.5], 200)
-    t = rng.integers(1, 50, 200)
+    goal = np.array(goal)
+    p = rng.dirichlet([0.5] * 3, 150) if len(goal) == 3 else np.c_[x := rng.uniform(0.55, 0.95, 150), 1 - x]
+    t = rng.integers(1, 50, 150).astype(float)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "mix_tokens long, mix_posterior array<double>")
-    found = mixing.solve(df, [0.9, 0.05, 0.05], total=4000.0)
-    rate = np.ones(200)
-    for h in found.steps:
-        rate = np.maximum(0, rate - p @ np.array(h))
-    assert np.allclose((p * (rate * t)[:, None]).sum(0), found.reached) and np.allclose(found.reached, found.targets, rtol=0.02) and (rate >= 0).all()
+    found = mixing.solve(df, goal.tolist(), keep=bool(least), miss=1e-7)
+    rates = np.array([r.r for r in df.select(mixing.rate(F.col("mix_posterior"), found.steps, float(least)).alias("r")).collect()])
+    share = goal / goal.sum()
+    totals = (p * (rates * t)[:, None]).sum(0) / t.sum()
+    assert found.converged and (rates >= least).all() and np.allclose(totals, found.reached, atol=1e-9)
+    ends = share * totals.sum() if least else goal
+    assert abs(found.miss - np.abs(totals - ends).max()) < 1e-9
+    assert ((totals - ends) ** 2).sum() <= plain_rates(p, t, goal, least, bool(least))[1] + 1e-7
 
 
-def test_kept_rows_meet_targets_by_the_copies_written(spark):
-    rng = np.random.default_rng(2)
-    p = np.vstack([rng.dirichlet([0.4, 0.4], 300), rng.dirichlet([5.0, 0.3], 100)])
-    t = rng.integers(1, 50, 400)
-    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "mix_tokens long, mix_posterior array<double>")
-    for weights in ([0.5, 0.5], [0.75, 0.25]):
-        found = mixing.solve(df, weights, keep=True)
-        rates = np.array([r.r for r in df.select(mixing.rate(F.col("mix_posterior"), found.steps, 1.0).alias("r")).collect()])
-        totals = (p * (rates * t)[:, None]).sum(0)
-        assert (rates >= 1).all() and np.allclose(totals / totals.sum(), weights, atol=0.01)
+def test_far_targets_leave_some_rows_out_and_repeat_others(spark):
     docs, labels = labelled_corpus(spark)
-    got = rows(mixing.mix(docs, labels, {"good": 0.3, "poor": 0.7}, keep=True))
-    totals = np.sum([np.array(r["mix_posterior"]) * r["mix_copies"] * r["mix_tokens"] for r in got], axis=0)
-    assert min(r["mix_rate"] for r in got) >= 1 and abs(totals[0] / totals.sum() - 0.3) < 0.03
+    got = [r for r in rows(mixing.mix(docs, labels, {"good": 0.0, "poor": 1.0})) if r["mix_tokens"]]
+    assert min(r["mix_rate"] for r in got) == 0 and max(r["mix_rate"] for r in got) > 2
+    kept = rows(mixing.mix(docs, labels, {"good": 0.3, "poor": 0.7}, keep=True))
+    totals = np.sum([np.array(r["mix_posterior"]) * r["mix_copies"] * r["mix_tokens"] for r in kept], axis=0)
+    assert min(r["mix_rate"] for r in kept) >= 1 and abs(totals[0] / totals.sum() - 0.3) < 0.03
+
+
+def test_classifier_is_naive_bayes_of_its_bins(spark):
+    docs, labels = labelled_corpus(spark, 120)
+    model = mixing.fit(docs, labels, ["good", "poor", "toxic"])
+    assert model.domains == ["good", "poor"]
+    binned = rows(mixing.measured(docs.where("doc_id IS NOT NULL"), model.telling))
+    told = {r.doc_id: "poor" if r.quality == 0 else "good" for r in labels.collect() if r.doc_id is not None and r.quality is not None}
+    for k, cuts in enumerate(mixing.BINS.values()):
+        for b in range(len(cuts) + 1):
+            for d, name in enumerate(model.domains):
+                mine = [r for r in binned if told.get(r["doc_id"]) == name]
+                assert abs(model.table[k][b][d] - np.log((sum(r["mix_bins"][k] == b for r in mine) + 1) / (len(mine) + len(cuts) + 1))) < 1e-12
+    got = {r["doc_id"]: r["mix_posterior"] for r in rows(mixing.mix(docs, labels, {"good": 0.5, "poor": 0.5}))}
+    for r in binned:
+        logs = np.array([model.prior[d] + mixing.TEMPER * sum(model.table[k][b][d] for k, b in enumerate(r["mix_bins"])) for d in range(2)])
+        assert np.allclose(got[r["doc_id"]], np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
+    bins = {r["doc_id"]: (r["mix_tokens"], r["mix_bins"]) for r in binned}
+    text = "a b a **** " + "x" * 30 + "\n"
+    (r,) = rows(mixing.measured(spark.createDataFrame([(1, text)], "doc_id long, text string"), {"good": ["a"], "poor": ["zz"]}))
+    words = [w for w in text.lower().split(" ") if w]
+    value = [4 / len(text), len(set(words)) / len(words), len(text) / len(words), 1 / len(text), len(text), 1, 0, 0]
+    assert r["mix_tokens"] == len(words) and r["mix_bins"] == [sum(v >= c for c in cuts) for v, cuts in zip(value, mixing.BINS.values(), strict=True)] and bins
 
 
 def test_mix_without_labels_or_rows(spark):
