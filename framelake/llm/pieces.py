@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ddl, others, slices, table
 
 SPACE = "▁"
-#: Entries that a worker remembers of segments and of pairs before it starts afresh; they bound its memory.
-MOST_SEGMENTS, MOST_PAIRS = 200_000, 300_000
-#: Characters of text decoded in one call and sent on in one batch.
-BATCH_CHARS = 4 << 20
+#: Entries that a worker remembers of segments and of pairs before it starts afresh, and characters of a segment that is
+#: worth it; they bound its memory.
+MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 200_000, 300_000, 64
+#: Bytes of text encoded, decoded in one call and sent on in one batch.
+BATCH_BYTES = 2 << 20
 
 
 class Pairs(dict):
@@ -103,9 +104,10 @@ class Encoder(dict):
                 end -= self.lengths[piece]
         ids.reverse()
         out = pack(f"<{len(ids)}I", *ids)
-        if len(self) >= MOST_SEGMENTS:
-            self.clear()
-        self[segment] = out
+        if len(segment) <= MOST_CHARS:
+            if len(self) >= MOST_SEGMENTS:
+                self.clear()
+            self[segment] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -127,28 +129,19 @@ def tokenize(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``df`` without the text, with ids (binary, little-endian 32-bit integers, begin and end ids included) and decoded.
 
     ``model`` is the file of a BPE model with the identity normalizer, at the same path on all machines. Null texts are
-    empty and give begin and end; repeated rows are encoded again; columns named ids or decoded give way. Whole texts
-    only; a worker keeps bounded tables and no text beyond its batch.
+    empty and give begin and end; repeated rows are encoded again; an empty table stays empty; columns named ids or decoded, in
+    whatever case, give way. Whole texts only, however long; a worker keeps bounded tables and no text beyond its batch.
     """
-    keep = [c for c in df.columns if c not in (text, "ids", "decoded")]
+    keep = others(df, text, "ids", "decoded")
 
     def run(batches):
         coder = encoder(model)
         for batch in batches:
-            texts = iter([x or "" for x in batch.column(text).to_pylist()])
-            at = 0
-            while at < batch.num_rows:
-                part, chars = [], 0
-                while chars < BATCH_CHARS and (one := next(texts, None)) is not None:
-                    part.append(one)
-                    chars += len(one)
-                ids = [coder.encode(x) for x in part]
-                left = batch.select(keep).slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.string())], names=[*keep, "ids", "decoded"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "ids binary, decoded string"])
-    return df.select(*keep, text).mapInArrow(run, schema)
+            for part, texts in slices(batch, text, BATCH_BYTES):
+                ids = [coder.encode(x or "") for x in texts]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.string())], names=[*keep, "ids", "decoded"])
+
+    return df.select(*keep, text).mapInArrow(run, ", ".join(filter(None, [ddl(df, keep), "ids binary, decoded string"])))
 
 
 def token_ids(data: bytes) -> list[int]:

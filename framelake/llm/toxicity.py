@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WRITTEN, cut, ddl, drop_since, others, slices, table
 from .minhash import signed
 
 #: Bound of the sample that the lexicon and the weights are learned from: labelled rows of each class, by hash of doc_id.
@@ -20,15 +22,19 @@ SAMPLE_PER_CLASS = 6_000
 #: Terms kept at most, least evidence for one (twice the log-likelihood ratio), least ratio of its rates.
 MOST_TERMS, LEAST_EVIDENCE, LEAST_RATIO = 2_000, 25.0, 10.0
 PREFIXES = range(4, 9)
+#: Clean rows of the sample that use a word near a term, no more often than chance, which make it a word of its own.
+REAL = 2
 #: Edits allowed by term length; shorter terms must be met exactly.
 EDITS = ((10, 2), (5, 1))
 #: What an edit leaves of a term's weight.
 EDIT_SHARE = 0.7
 WINDOW = 60
-MOST_WORDS = 200_000
+#: Words that a worker remembers, and letters of one that is worth it; they bound its memory.
+MOST_WORDS, MOST_LETTERS = 200_000, 64
 WORDS = re.compile(r"\w+").findall
-WORD_AT = re.compile(r"\w+").finditer
-QUOTES = re.compile("[\"“”„«»‘’]|'(?=\\w)|(?<=\\w)'(?!\\w)")
+WORD = re.compile(r"\w+")
+WORD_AT = WORD.finditer
+QUOTES = re.compile("[\"“”„«»]|(?<!\\w)['‘’](?=\\w)|(?<=\\w)['‘’](?!\\w)")
 #: Words near a term that announce someone else's speech.
 REPORTS = frozenset("said says say wrote writes quoted quote called calls word term dit écrit citation sagte schrieb zitat dijo dice cita".split())
 FEATURES = ("exact", "near", "quoted", "density")
@@ -64,12 +70,12 @@ class Lexicon(dict):
     """Word -> (weight, is exact) of the best term it meets, or None; each edit leaves EDIT_SHARE of a term's weight.
 
     Terms are whole words, or stems that end in ``*``. Stems are met exactly; the words of a stem that are terms too are what
-    misspelled words are near to.
+    misspelled words are near to. Known words are no misspellings, however near a term they are.
     """
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset()):
         super().__init__()
-        self.terms, self.trie = terms, {}
+        self.terms, self.known, self.trie = terms, known, {}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.stem_lengths = sorted({len(t) for t in self.stems})
         #: By number of edits, the terms that allow so many and what is left of them without up to so many letters. A word
@@ -125,25 +131,27 @@ class Lexicon(dict):
         for n in self.stem_lengths:
             if n < len(word) and (w := self.stems.get(word[:n])) is not None:
                 return w, True
-        if found := self.near(word):
+        if word not in self.known and (found := self.near(word)):
             return found[0], False
         return None
 
     def __missing__(self, word: str) -> tuple[float, bool] | None:
         found = self.meet(word)
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= MOST_LETTERS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether a term stands in quotation marks, or near a word of reporting, within the window on its line."""
-    left = text[max(0, start - WINDOW) : start].rpartition("\n")[2]
-    right = text[end : end + WINDOW].partition("\n")[0]
-    if len(QUOTES.findall(left)) % 2 and QUOTES.search(right):
+    first = max(text.rfind("\n", 0, start) + 1, start - WINDOW)
+    last = min(end + WINDOW, len(text) if (stop := text.find("\n", end)) < 0 else stop)
+    before = sum(m.start() < start for m in QUOTES.finditer(text, first, start + 1))
+    if before % 2 and QUOTES.search(text, end, last):
         return True
-    return not REPORTS.isdisjoint(WORDS(left.lower())[-3:])
+    return not REPORTS.isdisjoint(WORDS(text[first:start].lower())[-3:])
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
@@ -162,11 +170,32 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     return (exact, both - exact, math.log1p(sums[2]), math.log1p(100 * (sums[0] + sums[1]) / len(words)))
 
 
+def misspelled(text: str, lexicon: Lexicon) -> str:
+    """The text in lower case with one wrong letter in each word that is met exactly: one left out, doubled or changed, by a checksum of the word."""
+
+    def wrong(m: re.Match) -> str:
+        word, found = m[0], lexicon[m[0]]
+        if not found or not found[1] or len(word) < 2:
+            return word
+        at, kind = divmod(zlib.crc32(word.encode("utf-8", "surrogatepass")) % (3 * len(word)), 3)
+        return word[:at] + ("", word[at] * 2, "x" if word[at] != "x" else "y")[kind] + word[at + 1 :]
+
+    return WORD.sub(wrong, text.lower())
+
+
+def quoting(text: str, terms: list[str]) -> str:
+    """The text with a line that quotes one to three of the terms, chosen by a checksum of the text."""
+    pick = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    chosen = [terms[(pick >> 3 * k) % len(terms)] for k in range(1 + pick % 3)]
+    return f'{text}\n"{" ".join(chosen)}"'
+
+
 @dataclass
 class Model:
-    """What is learned: terms with weights, and the logistic weights of the features."""
+    """What is learned: terms with weights, words near them that clean rows use, and the logistic weights of the features."""
 
     terms: dict[str, float] = field(default_factory=dict)
+    known: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (0.0,) * len(FEATURES)
     bias: float = 0.0
 
@@ -191,7 +220,7 @@ def unrelated(sample: DataFrame) -> DataFrame:
 
     Families are rows joined by equal MinHash bands; the driver gets the bands of the sample (24 numbers a row at most).
     """
-    rows = signed(sample.select(F.xxhash64("text").alias("node"), "toxic", "text"), "text").select("node", "toxic", "bands").orderBy("node", "toxic").collect()
+    rows = sorted(signed(sample.select(F.xxhash64("text").alias("node"), "toxic", "text"), "text").select("node", "toxic", "bands").collect(), key=lambda r: (r.node, r.toxic))
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -214,102 +243,138 @@ def unrelated(sample: DataFrame) -> DataFrame:
 def fit(sample: DataFrame) -> Model:
     """Learn from a bounded sample with columns text and toxic (0 or 1); without both classes a model that says 0.
 
-    Near copies count once. Counts of terms are made by the executors; the driver gets at most 20 * MOST_TERMS of them (the
-    model holds MOST_TERMS and as many words of its stems), and for
-    each row of the sample four numbers. Weights are fitted to rows of both classes in the numbers of the sample.
+    Near copies count once. Counts of terms are made by the executors, over the whole sample before any is dropped; the driver
+    gets at most 20 * MOST_TERMS of them (the model holds MOST_TERMS and as many words of its stems), words of clean rows that
+    are near terms, and for each row of the sample up to three sets of features. Labels say nothing of misspelled or quoted
+    terms, which hardly occur in the sample, so these are practised. A row shares its weight with itself after a quotation of some terms is added, which makes no clean
+    row toxic and no toxic one clean; a toxic row also with itself after a letter of each of its terms went wrong. All weights
+    of the model are fitted to that, none is set.
     """
-    sample = unrelated(sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic"))).cache()
+    spark, mark = sample.sparkSession, len(WRITTEN)
+    sample = cut(unrelated(sample.select(F.col("text"), F.col("toxic").cast("int").alias("toxic"))), "practice")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     all1, all0 = sizes.get(1, 0), sizes.get(0, 0)
     if not all1 or not all0:
+        drop_since(spark, mark)
         return Model(bias=30.0 if all1 else -30.0)
 
     def count(batches):
         total: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                total[toxic].update(_terms_of(text or ""))
-        terms = [t for t in total[1]]
-        rest = [t for t, n in total[0].items() if t not in total[1] and n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(terms + rest, pa.string()), pa.array([total[1][t] for t in terms] + [0] * len(rest), pa.int64()), pa.array([total[0][t] for t in terms + rest], pa.int64())], names=["term", "n1", "n0"])
+            for part, texts in slices(batch, "text"):
+                for text, toxic in zip(texts, part.column("toxic").to_pylist(), strict=True):
+                    total[toxic].update(_terms_of(text or ""))
+        terms = list(total[1].keys() | total[0].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([total[1][t] for t in terms], pa.int64()), pa.array([total[0][t] for t in terms], pa.int64())], names=["term", "n1", "n0"])
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = cut(sample.select("text", "toxic").mapInArrow(count, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "counts")
     ratio = (F.col("n1") + 0.5) / (F.col("n0") + 0.5) * ((all0 + 1) / (all1 + 1))
     likely = counts.where((F.col("n1") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("n1") - F.col("n0")), "term").limit(20 * MOST_TERMS)
-    terms: dict[str, float] = {}
-    members: list[tuple[int, str, float]] = []
-    scored = [(len(r.term), -r.n1, r.term, r.n1, r.n0) for r in likely.collect() if _evidence(r.n1, r.n0, all1, all0) >= LEAST_EVIDENCE]
-    whole = {t: n for _, n, t, *_ in scored if not t.endswith("*")}
-    for _, _, term, n1, n0 in sorted(scored):
-        stem = term.rstrip("*")
-        if over := [stem[:n] + "*" for n in PREFIXES if n <= len(stem) and stem[:n] + "*" in terms]:
-            if not term.endswith("*"):
-                members.append((-n1, term, terms[over[0]]))  # weighs what its stem does, and has more letters to be near to
-            continue
-        if term.endswith("*") and any(w.startswith(stem) and n <= -0.8 * n1 for w, n in whole.items()):
-            continue  # nearly always one word: the word itself is the term
-        terms[term] = math.log((n1 + 0.5) / (n0 + 0.5) * (all0 + 1) / (all1 + 1))
-        if len(terms) == MOST_TERMS:
-            break
-    terms |= {term: weight for _, term, weight in sorted(members)[:MOST_TERMS]}
+    terms = chosen({r.term: (r.n1, r.n0) for r in likely.collect()}, all1, all0)
+    words = sorted(t for t in terms if not t.endswith("*"))
 
-    def measure(batches):
+    def real(batches):
         lexicon = Lexicon(terms)
         for batch in batches:
-            rows = [features(x or "", lexicon) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("term").to_pylist() if lexicon.meet(w) and not lexicon.meet(w)[1]], pa.string())], names=["term"])
 
-    rows = sample.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
-    x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
-    y = np.array([r.toxic for r in rows], float)
-    return Model(terms, *logistic(x, y))
+    plain = counts.where((F.col("n0") >= REAL) & (ratio < LEAST_RATIO) & ~F.endswith("term", F.lit("*"))).select("term")
+    known = frozenset(r.term for r in plain.mapInArrow(real, "term string").collect())
 
+    def measure(batches):
+        lexicon = Lexicon(terms, known)
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                rows, toxic, weight = [], [], []
+                for text, label in zip(texts, part.column("toxic").to_pylist(), strict=True):
+                    text = text or ""
+                    forms = [text, *([quoting(text, words)] if words else []), *([misspelled(text, lexicon)] if label else [])]
+                    rows += [features(x, lexicon) for x in forms]
+                    toxic += [label] * len(forms)
+                    weight += [1 / len(forms)] * len(forms)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(toxic, pa.int32()), pa.array(weight, pa.float64())], names=["x", "toxic", "weight"])
+
+    rows = sample.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int, weight double").collect()
+    drop_since(spark, mark)
+    x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
+    return Model(terms, known, *logistic(x, np.array([r.toxic for r in rows], float), np.array([r.weight for r in rows])))
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> tuple[tuple[float, ...], float]:
-    """Ridge logistic regression by Newton's method. Weights stay at 0 or above; quotation counts half of abuse at most.
 
-    Exact and near terms are one sum and have one weight: what an edit costs is EDIT_SHARE, not learned from rows without any.
-    """
-    a = np.c_[x[:, 0] + x[:, 1], x[:, 2:], np.ones(len(x))]
+def chosen(counts: dict[str, tuple[int, int]], all1: int, all0: int) -> dict[str, float]:
+    """Terms with weights from their toxic and clean rows: the MOST_TERMS of most evidence, and as many words of stems among them."""
+    evidence = {t: e for t, (n1, n0) in counts.items() if (e := _evidence(n1, n0, all1, all0)) >= LEAST_EVIDENCE}
+    weigh = lambda t: math.log((counts[t][0] + 0.5) / (counts[t][1] + 0.5) * (all0 + 1) / (all1 + 1))
+    whole = sorted(t for t in evidence if not t.endswith("*"))
+    terms: dict[str, float] = {}
+    stem_of: dict[str, str] = {}
+    for term in sorted(evidence, key=lambda t: (len(t), -counts[t][0], t)):
+        stem = term.rstrip("*")
+        if over := [stem[:n] + "*" for n in PREFIXES if n <= len(stem) and stem[:n] + "*" in terms]:
+            if not term.endswith("*"):
+                stem_of[term] = over[0]
+            continue
+        if term.endswith("*"):
+            at = bisect_left(whole, stem)
+            mine = whole[at : bisect_left(whole, stem + "\U0010ffff")]
+            if any(counts[w][0] >= 0.8 * counts[term][0] for w in mine):
+                continue  # nearly always one word: the word itself is the term
+        terms[term] = weigh(term)
+    kept = dict(sorted(terms.items(), key=lambda x: (-evidence[x[0]], x[0]))[:MOST_TERMS])
+    members = sorted((w for w, stem in stem_of.items() if stem in kept), key=lambda w: (-counts[w][0], w))[:MOST_TERMS]
+    return kept | {w: kept[stem_of[w]] for w in members}  # a word weighs what its stem does, and has more letters to be near to
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> tuple[tuple[float, ...], float]:
+    """Weighted ridge logistic regression by Newton's method: weights of the features, and the bias."""
+    a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (weight * (p - y)) + penalty * w)
         w -= step
-        w[:-1] = np.maximum(w[:-1], 0)
         if np.abs(step).max() < 1e-8:
             break
-    w[1] = min(w[1], w[0] / 2)
-    if not x[:, 2].any():
-        w[1] = w[0] / 2
-    return tuple(float(v) for v in (w[0], *w[:-1])), float(w[-1])
+    return tuple(float(v) for v in w[:-1]), float(w[-1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """The bounded sample: up to SAMPLE_PER_CLASS labelled rows of each class by hash of doc_id, with their texts; equal texts once."""
-    rows = labels.where(F.col("toxic").isin(0, 1)).where(allowed if allowed is not None else F.lit(True)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL")
+    """The bounded sample: up to SAMPLE_PER_CLASS labelled rows of each class by hash of doc_id, with their texts; equal texts once.
+
+    Of a doc_id that occurs more than once the least text counts. Rows without label, doc_id or document are left out.
+    """
+    rows = labels.where(F.col("toxic").isin(0, 1)).where(allowed if allowed is not None else F.lit(True)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL").distinct()
     one = lambda k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
-    return docs.select("doc_id", "text").join(F.broadcast(one(0).unionByName(one(1))), "doc_id").dropDuplicates(["text", "toxic"])
+    found = docs.select("doc_id", "text").join(F.broadcast(one(0).unionByName(one(1))), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").distinct()
+
+
+def learned(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
+    """The model of the bounded sample of ``docs``."""
+    mark = len(WRITTEN)
+    model = fit(cut(labelled(docs, labels, allowed), "labelled"))
+    drop_since(docs.sparkSession, mark)
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and matched (sum of hits as features). Null and empty texts score as texts without hits.
 
-    Repeated rows score alike, an empty table stays empty, columns named score or matched give way to ours.
+    Whole texts, however long; repeated rows score alike, an empty table stays empty, columns named score or matched, in whatever
+    case, give way to ours.
     """
-    keep = [c for c in df.columns if c not in ("score", "matched")]
+    keep = others(df, "score", "matched")
 
     def run(batches):
-        lexicon = Lexicon(model.terms)
+        lexicon = Lexicon(model.terms, model.known)
         for batch in batches:
-            found = [features(x or "", lexicon) for x in batch.column(text).to_pylist()]
-            extra = [pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra], names=[*keep, "score", "matched"])
+            for part, texts in slices(batch, text):
+                found = [features(x or "", lexicon) for x in texts]
+                extra = [pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *extra], names=[*keep, "score", "matched"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep).mapInArrow(run, f"{fields}, score double, matched array<double>")
+    return df.select(*keep).mapInArrow(run, f"{ddl(df, keep)}, score double, matched array<double>")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -319,6 +384,5 @@ def fold(doc_id: str = "doc_id") -> Column:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of the rows outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(labelled(docs, table(spark, sf_dir, "labels"), fold() != 0).cache())
-    scored = score(docs, model)
+    scored = score(docs, learned(docs, table(spark, sf_dir, "labels"), fold() != 0))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -433,20 +433,71 @@ def test_toxicity_learns_and_holds_out(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 50 and np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.97
     assert got[900] < 0.5 and got[901] < 0.5 and got[904] > got[903]
-    assert got[902] > got[901] or model.weights[1] == 0
+    assert got[902] > got[901]
     assert not rows(toxicity.score(docs.limit(0), model)) and toxicity.fit(docs.limit(0).withColumn("toxic", F.lit(1))).score((0, 0, 0, 0)) < 0.5
 
 
-def test_automaton_meets_what_edit_distance_says():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(
+    ("text", "is_quoted"),
+    [('he said "vile" to us', True), ("you vile man", False), ("“vile” is a word", True), ('"a phrase" then vile', False), ('"open vile and never closed', False), ("she wrote vile things", True), ("he said it was all so vile", False),
+     ('"first\nvile" line', False), ('"' + "x" * 70 + ' vile"', False), ("don't be vile, isn't it", False), ("'vile'", True), ("vile", False)],
+)
+def test_quotation(text, is_quoted):
+    at = text.index("vile")
+    assert toxicity.quoted(text, at, at + 4) == is_quoted
+
+
+def test_features_against_every_word_and_term():
+    terms = {"grimble": 2.0, "worstling": 3.0, "disgusting": 1.5, "vile": 4.0, "quob*": 2.5, "quobation": 2.5}
+    edits = lambda t: 2 if len(t) >= 10 else 1 if len(t) >= 5 else 0
+    rng = random.Random(3)
+    pool = ["grimble", "grimbel", "gimble", "worstling", "wurstling", "disgsuting", "disgusting", "vile", "vle", "quobnew", "quobatioon", "quob", "plain", "words", "İ", "said", '"', '"', "\n", "été"]
+    lexicon = toxicity.Lexicon(terms)
+    for _ in range(300):
+        text = " ".join(rng.choices(pool, k=rng.randrange(25)))
+        low = text.lower()
+        sums, words = [0.0, 0.0, 0.0], re.findall(r"\w+", low)
+        for m in re.finditer(r"\w+", low):
+            w = m[0]
+            exact = terms.get(w) or (terms["quob*"] if w.startswith("quob") and len(w) > 4 else None)
+            near = max((v * toxicity.EDIT_SHARE ** distance(w, t) for t, v in terms.items() if not t.endswith("*") and 0 < distance(w, t) <= edits(t)), default=0.0)
+            if exact or near:
+                sums[2 if toxicity.quoted(text if len(low) == len(text) else low, m.start(), m.end()) else 0 if exact else 1] += exact or near
+        want = (np.log1p(sums[0]), np.log1p(sums[0] + sums[1]) - np.log1p(sums[0]), np.log1p(sums[2]), np.log1p(100 * (sums[0] + sums[1]) / max(len(words), 1)))
+        assert np.allclose(toxicity.features(text, lexicon), want), text
+
+
+def test_fit_counts_terms_once_for_a_row_and_finds_the_least_loss(spark):
+    rng = random.Random(12)
+    data = [(prose(rng, 40) + (f" grimble{'' if i % 2 else ' grimble'} end" if i % 4 == 0 else f" fine{i % 7}"), int(i % 4 == 0)) for i in range(240)]
+    model = toxicity.fit(spark.createDataFrame(data, "text string, toxic int").repartition(7))
+    n1, n0 = (sum("grimble" in t.split() for t, y in data if y == k) for k in (1, 0))
+    assert abs(model.terms["grimble"] - np.log((n1 + 0.5) / (n0 + 0.5) * (180 + 1) / (60 + 1))) < 1e-12
+    again = toxicity.fit(spark.createDataFrame(data, "text string, toxic int").coalesce(1))
+    assert again.terms == model.terms and np.allclose(again.weights, model.weights)
+    x = np.random.default_rng(0).normal(size=(300, 4)) ** 2
+    y = (x[:, 0] - x[:, 2] + np.random.default_rng(1).normal(size=300) > 0).astype(float)
+    weight = np.random.default_rng(2).uniform(0.2, 1, 300)
+    w, bias = toxicity.logistic(x, y, weight)
+    loss = lambda v, b: (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v + b))).sum() + 0.05 * (v**2).sum() + 5e-4 * b * b
+    best = loss(np.array(w), bias)
+    assert all(loss(np.array(w) + d, bias + e) >= best for d, e in [(0.01 * np.eye(4)[k] * s, 0) for k in range(4) for s in (1, -1)] + [(0, 0.01), (0, -0.01)])
+    lexicon = toxicity.Lexicon({"grimble": 1.0})
+    assert distance(toxicity.misspelled("Grimble x", lexicon), "grimble x") == 1 and toxicity.misspelled("a b", lexicon) == "a b"
+    assert toxicity.features(toxicity.quoting("a b", ["grimble"]), lexicon)[2] > 0
+
 
+def test_automaton_meets_what_edit_distance_says():
     rng = random.Random(2)
     terms = ["abcab", "bcabca", "cabbage", "abbab"]
     lexicon = toxicity.Lexicon({t: 1.0 for t in terms})
@@ -456,15 +507,6 @@ def test_automaton_meets_what_edit_distance_says():
 
 
 def test_long_terms_are_met_with_two_edits():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
     lexicon = toxicity.Lexicon({"disgusting": 1.0, "abcabcabca": 1.0, "worthless": 1.0, "vile": 1.0})
     assert all(lexicon.near(w) for w in ("disgsuting", "dizguzting", "disgstng", "ddisgustinng"))
     assert not any(lexicon.near(w) for w in ("dizguztink", "wortlhess", "vil", "", "a"))
@@ -484,10 +526,11 @@ def test_misspelled_terms_count_whatever_clean_rows_hold(spark):
     close = ["grumble", "sparkle", "worstlings"]  # words of clean rows, one edit away
     data = [(i, prose(rng, 80) + " " + " ".join(rng.choices(bad if i % 4 == 0 else close, k=3)) + " end", int(i % 4 == 0)) for i in range(400)]
     model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
-    assert set(bad) <= set(model.terms) and model.weights[0] > 0 and model.weights[1] == model.weights[0]
-    lexicon = toxicity.Lexicon(model.terms)
+    assert set(bad) <= set(model.terms) and min(model.weights[0], model.weights[1]) > 0
+    assert model.known == set(close)
+    lexicon = toxicity.Lexicon(model.terms, model.known)
     score = lambda words: model.score(toxicity.features(prose(random.Random(9), 80) + words, lexicon))
-    assert score("") < score(" grimbl") < score(" grimble") and score(" grimbl snarkl worstlin") > score(" grimbl")
+    assert score("") < score(" grimbl") < score(" grimble") and score(" grimbl snarkl worstlin") > score(" grimbl") and score(" grumble sparkle") <= score("") + 1e-12
 
 
 def test_words_of_stems_are_met_with_edits(spark):
