@@ -403,19 +403,60 @@ def test_components(spark):
 # 8 fixity
 
 
-def test_audit_finds_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i} é</p>") for i in range(500)] + [(3, "http://x/3", "<p>3 é</p>"), (None, None, None)], "page_id long, url string, html string").withColumn("a", F.lit("clash"))
-    got = rows(fixity.fixity(pages, F.when(F.col("page_id").isin(17, 400), F.concat(F.col("record"), F.lit("!"))).otherwise(F.col("record")), F.coalesce(F.col("page_id") == 250, F.lit(False))))
-    assert Counter(r["status"] for r in got) == {"ok": 499, "corrupt": 2, "missing": 1} and {r["page_id"] for r in got if r["status"] != "ok"} == {17, 250, 400}
-    got.sort(key=lambda r: r["position"])
-    assert [r["position"] for r in got] == list(range(502)) and all(a["offset"] + a["bytes"] == b["offset"] for a, b in zip(got, got[1:], strict=False)) and got[0]["page_id"] is None
-    body = "<p>0 é</p>"
-    record = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nWARC-Target-URI: http://x/0\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n"
-    assert got[1]["sha256"] == hashlib.sha256(record.encode()).hexdigest()
-    leaves = spark.createDataFrame([(r, i, i * 10, 10, f"h{i}" if (r, i) != (1, 33) else "bad") for r in (0, 1) for i in range(100) if (r, i) != (0, 99)], "replica int, node long, first long, bytes long, hash string")
-    levels = fixity.merkle(leaves)
+def plain_leaves(found):
+    """What each key of a replica holds, laid out one after the other."""
+    order = sorted(found, key=lambda r: (r[0] is not None, r[0] or 0))
+    out, at = {}, 0
+    for key, size, digest in order:
+        first, total, all_of = out.get(key, (at, 0, []))
+        out[key] = (first, total + size, sorted([*all_of, digest]))
+        at += size
+    return out
+
+
+def test_audit_of_two_replicas(spark):
+    rng = random.Random(7)
+    one = [(k, rng.randrange(1, 90), hashlib.sha256(str(k).encode()).hexdigest()) for k in range(500)] + [(3, 8, "x"), (3, 8, "y"), (None, 4, "z"), (700, 9, "w")]
+    two = [r for r in one if r[0] not in (250, 251)]  # lost
+    two = [(k, n + 5, h) if k == 17 else (k, n, "bad") if k == 400 else (k, n, h) for k, n, h in two]  # resized, changed
+    two += [(1000, 6, "new"), (-4, 6, "new"), (700, 9, "w")]  # put in at both ends, and twice
+    two.remove((3, 8, "y"))
+    make = lambda x: spark.createDataFrame([(*r, "c") for r in x], "key long, bytes long, sha256 string, replica string")
+    got = rows(fixity.fixity(make(one), make(two)))
+    a, b = plain_leaves(one), plain_leaves(two)
+    keys = sorted(a.keys() | b.keys(), key=lambda k: (k is not None, k or 0))
+    assert [r["key"] for r in sorted(got, key=lambda r: r["position"])] == keys and len(got) == len(keys)
+    for r in got:
+        x, y = a.get(r["key"]), b.get(r["key"])
+        assert r["status"] == ("extra" if x is None else "missing" if y is None else "ok" if x[1:] == y[1:] else "corrupt")
+        assert (r["offset"], r["bytes"], r["records"]) == ((x[0], x[1], len(x[2])) if x else (None, None, None)) and (r["other_offset"], r["other_bytes"]) == (y[:2] if y else (None, None))
+        assert not x or len(x[2]) > 1 or r["sha256"] == x[2][0]
+    assert {r["key"] for r in got if r["status"] != "ok"} == {250, 251, 17, 400, 1000, -4, 700, 3}
+    assert not rows(fixity.fixity(make(one).limit(0), make(two).limit(0)))
+    leaf = spark.createDataFrame([(r, i, 10, f"h{i}" if (r, i) != (1, 33) else "bad") for r in (0, 1) for i in range(100) if (r, i) != (0, 99)], "replica int, node long, bytes long, hash string")
+    levels = fixity.merkle(leaf)
     assert [x.where("replica = 1").count() for x in levels] == [100, 7, 1] and {(r.node, r.status) for r in fixity.audit(levels).collect()} == {(33, "corrupt"), (99, "extra")}
-    assert not rows(fixity.fixity(pages.limit(0), F.col("record"), F.lit(False)))
+
+
+def test_warc_bytes(spark):
+    def record(name, body):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{name}>\r\ncontent-length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    whole = [record(k, b) for k, b in enumerate((b"<p>\r\n\r\n</p>", b"", "é".encode(), b"WARC/1.0\r\n\r\n"))]
+    data = b"".join(whole)
+    found = fixity.records(data)
+    assert [x[0] for x in found] == [f"<urn:page:{k}>" for k in range(4)] and [x[4] for x in found] == [None] * 4
+    assert b"".join(data[x[1] : x[1] + x[2]] for x in found) == data and [x[3] for x in found] == [hashlib.sha256(x).hexdigest() for x in whole]
+    for n in range(len(data)):
+        part = fixity.records(data[:n])
+        assert sum(x[2] for x in part) == n and [x[4] is None for x in part] == [True] * (len(part) - 1) + ([n in np.cumsum([len(w) for w in whole])] if part else [])
+    assert fixity.records(b"junk")[0][4] == "no WARC header" and fixity.records(b"WARC/1.1\r\n\r\n")[0][4] == "no length"
+    df = spark.createDataFrame([("f", bytearray(data), 1), ("g", None, 2), ("h", bytearray(b""), 3)], "file string, content binary, AT int")
+    assert Counter((r["file"], r["at"], r["error"]) for r in rows(fixity.warc_records(df))) == Counter(("f", x[1], None) for x in found)
+    pages = spark.createDataFrame([(0, "http://x/0", "<p>0 é</p>")], "page_id long, url string, html string")
+    body = "<p>0 é</p>"
+    text = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nWARC-Target-URI: http://x/0\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n"
+    assert rows(fixity.replica(pages, False)) == [{"key": 0, "bytes": len(text.encode()), "sha256": hashlib.sha256(text.encode()).hexdigest()}]
 
 
 # 9 toxicity
