@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +59,24 @@ def conditions() -> dict[str, Column]:
     return out
 
 
-def counters(packets: DataFrame) -> DataFrame:
-    """One row: packets, bytes, first and last time and every counter, in one partial and one final aggregation."""
+def _totals() -> dict[str, Column]:
     zero = F.lit(0).cast("long")
-    return packets.agg(
-        F.count("*").alias("packets"), F.coalesce(F.sum("wirelen"), zero).alias("wire_bytes"), F.coalesce(F.sum(F.col("caplen").cast("long")), zero).alias("captured_bytes"),
-        F.min("ts_ns").alias("first_ts_ns"), F.max("ts_ns").alias("last_ts_ns"), *[F.count_if(c).alias(n) for n, c in conditions().items()],
-    )
+    return {
+        "packets": F.count("*"), "wire_bytes": F.coalesce(F.sum("wirelen"), zero), "captured_bytes": F.coalesce(F.sum(F.col("caplen").cast("long")), zero),
+        "first_ts_ns": F.min("ts_ns"), "last_ts_ns": F.max("ts_ns"),
+    }
+
+
+def fields_of(names: tuple[str, ...], decoded: tuple[str, ...]) -> list[str]:
+    """Those of the ``decoded`` fields that the counters of these names look at."""
+    wanted = " ".join(repr(c) for n, c in conditions().items() if n in names)
+    return [f for f in decoded if re.search(rf"\b{f}\b", wanted)]
+
+
+def counters(packets: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """One row: packets, bytes, first and last time and every counter (or those named), in one partial and one final aggregation."""
+    every = _totals() | {n: F.count_if(c) for n, c in conditions().items()}
+    return packets.agg(*[every[n].alias(n) for n in (every if names is None else names)])
 
 
 def problems(packets: DataFrame, status: str = "status", where: Column | None = None) -> DataFrame:

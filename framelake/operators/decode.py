@@ -268,7 +268,7 @@ def fragment_slot(p: Packet) -> np.ndarray:
     return slot
 
 
-FIELDS = [tuple(x.split(" ", 1)) for x in DECODED.split(", ")]
+FIELDS = dict(x.split(" ", 1) for x in DECODED.split(", "))
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -281,32 +281,39 @@ def _frames(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, bounds[:-1], np.diff(bounds)
 
 
-def to_arrow(fields: dict[str, np.ndarray]) -> list[pa.Array]:
-    n = len(fields["status"])
+def to_arrow(found: dict[str, np.ndarray], fields: list[str]) -> list[pa.Array]:
+    n = len(found["status"])
     out = []
-    for name, kind in FIELDS:
-        x = fields[name]
+    for name in fields:
+        kind, x = FIELDS[name], found[name]
         if kind == "binary":
             out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))]))
         elif kind == "array<int>":
-            used = np.arange(MOST_VLANS) < fields["vlan_count"][:, None]
-            ends = np.concatenate([[0], np.cumsum(fields["vlan_count"])]).astype(np.int32)
+            used = np.arange(MOST_VLANS) < found["vlan_count"][:, None]
+            ends = np.concatenate([[0], np.cumsum(found["vlan_count"])]).astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(x[used].astype(np.int32))))
         else:
             out.append(pa.array(x).cast(ARROW[kind]))
     return out
 
 
-def decode_frames(records: DataFrame, data: str = "data") -> DataFrame:
-    """``records`` without the bytes, with the decoded fields. A row's result depends on that row alone."""
-    keep = [c for c in records.columns if c != data]
+def decode_frames(records: DataFrame, data: str = "data", fields: list[str] | None = None) -> DataFrame:
+    """``records`` without the bytes, with the decoded fields (all, or those named). A row's result depends on that row alone.
+
+    Null bytes are an empty frame, a null wire length is the captured one; repeated rows are decoded again, an empty table
+    stays empty. Columns of ``records`` named as a decoded field, in whatever case, give way to it.
+    """
+    names = list(FIELDS) if fields is None else [f for f in FIELDS if f in set(fields)]
+    ours = {data.lower(), *(f.lower() for f in FIELDS)}
+    keep = [c for c in records.columns if c.lower() not in ours]
 
     def run(batches):
         for batch in batches:
             bytes_, at, cap = _frames(batch.column(data))
             wire = batch.column("wirelen").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = to_arrow(decode(bytes_, at, cap, wire))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, *(n for n, _ in FIELDS)])
+            found = to_arrow(decode(bytes_, at, cap, wire), names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema), DECODED])
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {FIELDS[n]}" for n in names)])
     return records.select(*keep, data).mapInArrow(run, schema)

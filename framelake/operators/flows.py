@@ -11,6 +11,11 @@ KEY = ("ip_version", "proto", "addr_a", "port_a", "addr_b", "port_b")
 TUNNEL_KEY = ("teid", "ip_version", "proto", "addr_a", "addr_b")
 
 
+#: Fields of packets that flows and tunnels look at.
+FLOW_FIELDS = ("status", "has_l3", "has_l4", "ip_version", "ip_proto", "src_addr", "dst_addr", "src_port", "dst_port", "tcp_flags")
+TUNNEL_FIELDS = ("status", "is_gtpu", "gtp_v1u", "gtp_msg_ok", "gtp_msg_type", "teid", "ip_version", "ip_proto", "src_addr", "dst_addr")
+
+
 def in_flow() -> Column:
     return (F.col("status") == 0) & F.col("has_l3")
 

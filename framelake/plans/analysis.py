@@ -4,30 +4,46 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counters as C
 from ..operators import flows as W
 from ..operators.decode import decode_frames
-from ..operators.fragments import attribute
-from ..sources.pcap import register
+from ..operators.fragments import attribute, once
+from ..sources.pcap import read_captures
 
 
 @dataclass
 class Analysis:
+    """``packets`` are attributed; ``decoded`` is what is kept (None: nothing is)."""
+
     packets: DataFrame
+    decoded: DataFrame | None = None
 
     @classmethod
     def of_records(cls, records: DataFrame, lossless: bool = False, persist: bool = True) -> Analysis:
-        packets = attribute(decode_frames(records), lossless)
-        return cls(packets.persist(StorageLevel.MEMORY_AND_DISK) if persist else packets)
+        """Decode once and keep the packets (``persist``), or decode again in each table."""
+        decoded = decode_frames(records)
+        if not persist:
+            return cls(attribute(decoded, lossless))
+        kept = once(decoded)
+        return cls(attribute(kept, lossless), kept)
+
+    @classmethod
+    def of_capture(cls, spark: SparkSession, *paths: str, **options) -> Analysis:
+        """Of files, folders or patterns, that every machine sees."""
+        return cls.of_records(read_captures(spark, *paths), **options)
 
     @classmethod
-    def of_capture(cls, spark: SparkSession, path: str, **options) -> Analysis:
-        register(spark)
-        return cls.of_records(spark.read.format("pcap").load(path), **options)
+    def of_packets(cls, packets: DataFrame, lossless: bool = False) -> Analysis:
+        """Of decoded packets that were stored, say as parquet by ``store``: for many queries over a large capture."""
+        return cls(attribute(packets, lossless))
+
+    @staticmethod
+    def store(records: DataFrame, path: str) -> None:
+        """Decode once and for all."""
+        decode_frames(records).write.parquet(path)
 
     def counters(self) -> DataFrame:
         return C.counters(self.packets)
@@ -42,7 +58,9 @@ class Analysis:
         return W.flows(self.packets)
 
     def tunnels(self) -> DataFrame:
-        return W.tunnels(self.packets)
+        """Of packets as decoded: a tunnel takes whole packets only."""
+        return W.tunnels(self.packets if self.decoded is None else self.decoded)
 
     def free(self) -> None:
-        self.packets.unpersist()
+        if self.decoded is not None:
+            self.decoded.unpersist()

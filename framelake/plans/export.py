@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import os
-import shutil
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from ..functions import text as T
 from ..operators.flows import ranked
 from ..schema import TCP
 
+#: The columns of the exports.
 FLOW_HEADER = "src_addr,src_port,dst_addr,dst_port,protocol,ip_version,packets,bytes,first_ts,last_ts,duration_s,tcp_flags"
 TUNNEL_HEADER = "teid,src_addr,dst_addr,ip_version,packets,bytes,first_ts,last_ts,duration_s"
 
@@ -51,15 +49,21 @@ def tunnel_lines(tunnels: DataFrame) -> DataFrame:
     return tunnel_text(ranked(tunnels)).select(_line("teid_text", "src", "dst", "ip_version", "packets", "bytes", *times).alias("line"))
 
 
-def write_lines(lines: DataFrame, header: str, path: str) -> None:
-    """Write ordered lines under a header as one file at ``path``: parts in order, put together on the driver."""
-    folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path)))
+def write_lines(lines: DataFrame, header: str, path: str) -> int:
+    """Write ordered lines under a header as one file on the driver's disk; returns how many.
+
+    Lines come to the driver one part after the other, whatever the executors' disks are; the file gets its name once it is whole.
+    """
+    part = f"{path}.part"
+    count = 0
     try:
-        lines.write.mode("overwrite").text(os.path.join(folder, "parts"))
-        with open(path, "wb") as out:
-            out.write(header.encode() + b"\n")
-            for part in sorted(glob.glob(os.path.join(folder, "parts", "part-*"))):
-                with open(part, "rb") as f:
-                    shutil.copyfileobj(f, out)
+        with open(part, "w", encoding="utf-8", newline="") as out:
+            out.write(header + "\n")
+            for row in lines.toLocalIterator(prefetchPartitions=True):
+                out.write(row.line + "\n")
+                count += 1
+        os.replace(part, path)
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        if os.path.exists(part):
+            os.remove(part)
+    return count

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import counters as C
 from ..operators import flows as W
-from ..operators.decode import decode_frames
-from ..operators.fragments import attribute
+from ..operators.decode import FIELDS, decode_frames
+from ..operators.fragments import NEEDED, attribute, once
 from ..sources.pcap import records_of_bytes
 from .export import flow_lines, flow_text, tunnel_lines, tunnel_text
 from .synth import captures_of, synth_frames, synth_packets
@@ -22,12 +22,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth_frames(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_frames(frames(spark, sf_dir))
+def decoded(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Packets with just these fields."""
+    return decode_frames(frames(spark, sf_dir), fields=list(fields))
 
 
-def packets(spark: SparkSession, sf_dir: str, lossless: bool = False) -> DataFrame:
-    return attribute(decoded(spark, sf_dir), lossless)
+def packets(spark: SparkSession, sf_dir: str, *fields: str, lossless: bool = False) -> DataFrame:
+    """Packets with just these fields, decoded once, and later fragments with the ports of first ones."""
+    return attribute(once(decoded(spark, sf_dir, *NEEDED, *fields)), lossless)
+
+
+def flow_rows(spark: SparkSession, sf_dir: str, lossless: bool = False) -> DataFrame:
+    return W.flows(packets(spark, sf_dir, *W.FLOW_FIELDS, lossless=lossless))
+
+
+def tunnel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.tunnels(decoded(spark, sf_dir, *W.TUNNEL_FIELDS))
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +45,15 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(*names: str):
-    return lambda spark, sf_dir: C.counters(packets(spark, sf_dir)).select(*names)
+    """Some counters; nothing is decoded that none of them looks at."""
+
+    def query(spark, sf_dir):
+        fields = C.fields_of(names, tuple(FIELDS))
+        if "frag_matched" in names:
+            return C.counters(packets(spark, sf_dir, *fields), names)
+        return C.counters(decoded(spark, sf_dir, *fields) if fields else frames(spark, sf_dir), names)
+
+    return query
 
 
 TOTALS = ("packets", "wire_bytes", "captured_bytes", "first_ts_ns", "last_ts_ns")
@@ -49,64 +67,64 @@ TUNNEL = ("teid_text", "src", "dst", "packets", "bytes", "first_ts_ns", "last_ts
 
 
 def q_flows(spark, sf_dir):
-    return flow_text(W.flows(packets(spark, sf_dir))).select(*FLOW)
+    return flow_text(flow_rows(spark, sf_dir)).select(*FLOW)
 
 
 def q_top_flows(spark, sf_dir):
-    return flow_text(W.top(W.flows(packets(spark, sf_dir)), 10)).select(*FLOW)
+    return flow_text(W.top(flow_rows(spark, sf_dir), 10)).select(*FLOW)
 
 
 def q_first_sender(spark, sf_dir):
-    return flow_text(W.flows(packets(spark, sf_dir))).select("protocol", F.col("src").alias("first_sender"), F.col("dst").alias("first_receiver"), "first_ts_ns")
+    return flow_text(flow_rows(spark, sf_dir)).select("protocol", F.col("src").alias("first_sender"), F.col("dst").alias("first_receiver"), "first_ts_ns")
 
 
 def q_tcp_flags(spark, sf_dir):
-    rows = flow_text(W.flows(packets(spark, sf_dir)).where("proto = 6"))
+    rows = flow_text(flow_rows(spark, sf_dir).where("proto = 6"))
     return rows.groupBy("flags").agg(F.count("*").alias("flows"), F.sum("packets").alias("packets"))
 
 
 def _fragment_flows(lossless):
     def query(spark, sf_dir):
-        rows = flow_text(W.flows(packets(spark, sf_dir, lossless)).where("proto = 17 AND (port_a = 4500 OR port_b = 4500)"))
+        rows = flow_text(flow_rows(spark, sf_dir, lossless).where("proto = 17 AND (port_a = 4500 OR port_b = 4500)"))
         return rows.select("src", "dst", "packets", "bytes")
 
     return query
 
 
 def q_tunnels(spark, sf_dir):
-    return tunnel_text(W.tunnels(packets(spark, sf_dir))).select(*TUNNEL)
+    return tunnel_text(tunnel_rows(spark, sf_dir)).select(*TUNNEL)
 
 
 def q_top_tunnels(spark, sf_dir):
-    return tunnel_text(W.top(W.tunnels(packets(spark, sf_dir)), 10)).select(*TUNNEL)
+    return tunnel_text(W.top(tunnel_rows(spark, sf_dir), 10)).select(*TUNNEL)
 
 
 def q_distinct_teids(spark, sf_dir):
-    return W.distinct_teids(W.tunnels(packets(spark, sf_dir)))
+    return W.distinct_teids(tunnel_rows(spark, sf_dir))
 
 
 def q_vlan_ids(spark, sf_dir):
-    rows = decoded(spark, sf_dir).where("vlan_count > 0").select(F.explode("vlan_ids").alias("vlan_id"), "wirelen")
+    rows = decoded(spark, sf_dir, "vlan_count", "vlan_ids").where("vlan_count > 0").select(F.explode("vlan_ids").alias("vlan_id"), "wirelen")
     return rows.groupBy("vlan_id").agg(F.count("*").alias("packets"), F.sum("wirelen").alias("bytes"))
 
 
 def q_icmp_types(spark, sf_dir):
-    rows = decoded(spark, sf_dir).where("has_l4 AND ip_proto = 1")
+    rows = decoded(spark, sf_dir, "has_l4", "ip_proto", "icmp_type", "icmp_code").where("has_l4 AND ip_proto = 1")
     return rows.groupBy("icmp_type", "icmp_code").agg(F.count("*").alias("packets"))
 
 
 def q_span(spark, sf_dir):
-    c = C.counters(packets(spark, sf_dir))
+    c = C.counters(frames(spark, sf_dir), TOTALS)
     span = F.col("last_ts_ns") - F.col("first_ts_ns")
     return c.select(T.seconds(F.col("first_ts_ns")).alias("first_ts"), T.seconds(F.col("last_ts_ns")).alias("last_ts"), T.seconds(span, 6).alias("duration"))
 
 
 def q_flow_csv(spark, sf_dir):
-    return flow_lines(W.flows(packets(spark, sf_dir)))
+    return flow_lines(flow_rows(spark, sf_dir))
 
 
 def q_tunnel_csv(spark, sf_dir):
-    return tunnel_lines(W.tunnels(packets(spark, sf_dir)))
+    return tunnel_lines(tunnel_rows(spark, sf_dir))
 
 
 def q_flows_large(spark, sf_dir):
@@ -126,7 +144,7 @@ def q_host_proto(spark, sf_dir):
 
 def q_roundtrip(spark, sf_dir):
     back = records_of_bytes(captures_of(frames(spark, sf_dir)))
-    done = decode_frames(back)
+    done = decode_frames(back, fields=["status"])
     return done.groupBy("status").agg(F.count("*").alias("packets"), F.sum("wirelen").alias("wire_bytes"), F.sum(F.col("caplen").cast("long")).alias("captured_bytes"), F.min("ts_ns").alias("first_ts_ns"), F.max("ts_ns").alias("last_ts_ns"))
 
 
@@ -134,7 +152,7 @@ QUERIES = {
     "q01_capture_totals": _counted(*TOTALS),
     "q02_network_mix": _counted(*NETWORK),
     "q03_transport_mix": _counted(*TRANSPORT),
-    "q04_problems_by_status": lambda s, d: C.problems(packets(s, d)),
+    "q04_problems_by_status": lambda s, d: C.problems(decoded(s, d, "status")),
     "q05_fragment_counts": _counted(*FRAGMENTS),
     "q06_flows": q_flows,
     "q07_top_flows": q_top_flows,

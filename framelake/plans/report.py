@@ -1,4 +1,7 @@
-"""The text report. Numbers are formatted here, by Python's %, which rounds half to even as C does."""
+"""The text report. Numbers are formatted here, by Python's %, which rounds half to even as C does.
+
+Fixed values: the labels, titles and widths of its lines, which other programs read.
+"""
 
 from __future__ import annotations
 

@@ -88,11 +88,11 @@ def synth_frames(events: DataFrame) -> DataFrame:
     return whole.select("file", "record_no", "ts_ns", F.octet_length(data).alias("caplen"), F.octet_length("whole").cast("long").alias("wirelen"), data.alias("data"))
 
 
-def captures_of(records: DataFrame, files: int = 8) -> DataFrame:
-    """Little-endian nanosecond captures in a binary column (path, content); record k goes to capture k modulo ``files``."""
+def captures_of(records: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Little-endian nanosecond captures in a binary column (path, content), of so many record numbers each: none grows with the table."""
     sec, ns = F.expr("ts_ns div 1000000000"), F.col("ts_ns") % 1_000_000_000
     one = F.concat(_le32(sec), _le32(ns), _le32(F.col("caplen").cast("long")), _le32(F.col("wirelen")), F.hex("data"))
-    grouped = records.groupBy((F.col("record_no") % files).alias("path")).agg(F.array_sort(F.collect_list(F.struct("record_no", one.alias("x")))).alias("all"))
+    grouped = records.groupBy(F.expr(f"record_no div {rows}").alias("path")).agg(F.array_sort(F.collect_list(F.struct("record_no", one.alias("x")))).alias("all"))
     head = "4D3CB2A1" + "02000400" + "00" * 8 + "FFFF0000" + "01000000"
     return grouped.select(F.col("path").cast("string").alias("path"), F.unhex(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x.x), ""))).alias("content"))
 

@@ -49,7 +49,7 @@ def test_mixed_capture(spark, tmp_path):
     info, _ = open_survey(path)
     assert (info.records, info.status) == (10, "TRUNC_RECORD")
     out, err = io.StringIO(), io.StringIO()
-    assert main(["-n", "0", path], spark, out, err) == 2 and "after 10 records" in err.getvalue() and "Packets:     10\n" in out.getvalue()
+    assert main(["-n", "0", path], spark, out, err) == 2 and "the 10 records before that" in err.getvalue() and "Packets:     10\n" in out.getvalue()
 
 
 def test_fragments(spark):

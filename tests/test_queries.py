@@ -25,3 +25,14 @@ def test_against_sql(spark, name):
 def test_entry_points():
     assert set(queries.ORACLE) <= set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_frames_are_decoded_once(spark):
+    """Whatever a query needs of them, its plan has one Python node that decodes, or none."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    for name, nodes in {"q01_capture_totals": 0, "q05_fragment_counts": 1, "q06_flows": 1, "q11_gtpu_counters": 1, "q13_tunnels": 1, "q18_capture_span": 0}.items():
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        kept = plan.count("InMemoryTableScan")
+        assert plan.count("MapInArrow") == (nodes if not kept else kept), name  # a kept table is shown wherever it is read
+    spark.catalog.clearCache()
