@@ -13,7 +13,9 @@ from ..operators import counters as C
 from ..operators import flows as W
 from ..operators.decode import FIELDS, decode_frames
 from ..operators.fragments import NEEDED, attribute, once
+from ..schema import STATUSES
 from ..sources.pcap import records_of_bytes
+from .catalog import catalog_records, predicted
 from .export import flow_lines, flow_text, tunnel_lines, tunnel_text
 from .synth import captures_of, synth_frames, synth_packets
 
@@ -148,6 +150,35 @@ def q_roundtrip(spark, sf_dir):
     return done.groupBy("status").agg(F.count("*").alias("packets"), F.sum("wirelen").alias("wire_bytes"), F.sum(F.col("caplen").cast("long")).alias("captured_bytes"), F.min("ts_ns").alias("first_ts_ns"), F.max("ts_ns").alias("last_ts_ns"))
 
 
+ALL_COUNTERS = (*NETWORK, *TRANSPORT, *FRAGMENTS, *GTPU, *INNER)
+
+
+def catalog(spark, sf_dir, *fields: str) -> DataFrame:
+    return decode_frames(catalog_records(spark.read.parquet(f"{sf_dir}/events.parquet")), fields=list(fields) or None)
+
+
+def q_catalog_counters(spark, sf_dir):
+    return C.counters(attribute(once(catalog(spark, sf_dir, *NEEDED, *C.fields_of(ALL_COUNTERS, tuple(FIELDS))))), (*TOTALS, *ALL_COUNTERS))
+
+
+def q_catalog_problems(spark, sf_dir):
+    rows = catalog(spark, sf_dir, "status", "gtp_status", "is_gtpu")
+    outer = C.problems(rows).select(F.lit("frame").alias("layer"), "code", "text", "packets")
+    return outer.unionByName(C.problems(rows, "gtp_status", F.col("is_gtpu")).select(F.lit("tunnel").alias("layer"), "code", "text", "packets"))
+
+
+def _catalog_flows(lossless):
+    def query(spark, sf_dir):
+        rows = W.flows(attribute(once(catalog(spark, sf_dir, *NEEDED, *W.FLOW_FIELDS)), lossless))
+        return flow_text(rows).select("ip_version", F.col("proto").alias("ip_proto"), "src", "dst", "packets", "bytes", "first_ts_ns", "last_ts_ns")
+
+    return query
+
+
+def q_catalog_tunnels(spark, sf_dir):
+    return tunnel_text(W.tunnels(catalog(spark, sf_dir, *W.TUNNEL_FIELDS))).select(*TUNNEL)
+
+
 QUERIES = {
     "q01_capture_totals": _counted(*TOTALS),
     "q02_network_mix": _counted(*NETWORK),
@@ -174,6 +205,11 @@ QUERIES = {
     "q23_host_proto_counts": q_host_proto,
     "q24_pcap_roundtrip": q_roundtrip,
     "q25_lossless_fragments": _fragment_flows(True),
+    "q26_catalog_counters": q_catalog_counters,
+    "q27_catalog_problems": q_catalog_problems,
+    "q28_catalog_flows": _catalog_flows(False),
+    "q29_catalog_flows_lossless": _catalog_flows(True),
+    "q30_catalog_tunnels": q_catalog_tunnels,
 }
 
 #: One row per frame: what the decoder must find.
@@ -265,3 +301,35 @@ ORACLE = {
     "q24_pcap_roundtrip": PREDICTED + "SELECT status::INT AS status, count(*) AS packets, sum(wirelen)::BIGINT AS wire_bytes, sum(caplen)::BIGINT AS captured_bytes, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns FROM p GROUP BY status",
     "q25_lossless_fragments": _FRAGMENT_SQL,
 }
+
+_CATALOG = predicted()
+_KINDS = {"gpdu": 255, "echo_request": 1, "echo_response": 2, "error_indication": 26, "end_marker": 254}
+_CATALOG_COUNTERS = {
+    "ipv4": "version = 4", "ipv6": "version = 6", "non_ip": "non_ip", "vlan_tagged": "vlans > 0",
+    "tcp": "proto = 6", "udp": "proto = 17", "icmp": "proto = 1", "icmpv6": "proto = 58", "other": "proto NOT IN (0, 1, 6, 17, 58)", "truncated": "status BETWEEN 1 AND 11", "malformed": "status > 11",
+    "frag_first": "frag = 1", "frag_later": "frag = 2", "frag_matched": "found",
+    "gtp_packets": "gtpu", "gtp_fragmented": "frag = 1 AND src LIKE '%:2152'", "gtp_truncated": "gtpu AND gtp BETWEEN 1 AND 11", "gtp_malformed": "gtpu AND gtp > 11",
+    "gtp_user_truncated": "whole AND gtp BETWEEN 1 AND 11", "gtp_user_malformed": "whole AND gtp > 11", "gtp_not_v1u": "gtpu AND NOT v1u AND gtp = 0", **{f"gtp_{n}": f"v1u AND kind = {k}" for n, k in _KINDS.items()},
+    "gtp_other_type": f"v1u AND kind NOT IN ({', '.join(map(str, _KINDS.values()))})", "gtp_with_seq": "v1u AND seq", "gtp_with_ext": "ext", "gtp_nested": "nested",
+    "gtp_inner_ipv4": "iv = 4", "gtp_inner_ipv6": "iv = 6", "gtp_inner_tcp": "ip = 6", "gtp_inner_udp": "ip = 17", "gtp_inner_icmp": "ip = 1", "gtp_inner_icmpv6": "ip = 58", "gtp_inner_other": "ip NOT IN (0, 1, 6, 17, 58)",
+}
+
+
+def _catalog_problem_sql(layer: str, column: str) -> str:
+    names = " ".join(f"WHEN {k} THEN '{text}'" for k, (_, text) in enumerate(STATUSES))
+    return f"SELECT '{layer}' AS layer, {column}::INT AS code, CASE {column} {names} END AS text, count(*) AS packets FROM p WHERE {column} > 0 GROUP BY {column}"
+
+
+def _catalog_flow_sql(found: str) -> str:
+    ends = f"CASE WHEN {found} THEN fsrc ELSE src END AS s, CASE WHEN {found} THEN fdst ELSE dst END AS d"
+    return _CATALOG + f", m AS (SELECT *, {ends} FROM p WHERE status = 0 AND version > 0) SELECT version::INT AS ip_version, proto::INT AS ip_proto, s AS src, d AS dst, count(*) AS packets, sum(wirelen)::BIGINT AS bytes, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns FROM m GROUP BY ALL"
+
+
+ORACLE |= {
+    "q26_catalog_counters": _CATALOG + "SELECT count(*) AS packets, sum(wirelen)::BIGINT AS wire_bytes, sum(caplen)::BIGINT AS captured_bytes, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns, "
+    + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _CATALOG_COUNTERS.items()) + " FROM p",
+    "q27_catalog_problems": _CATALOG + _catalog_problem_sql("frame", "status") + " UNION ALL " + _catalog_problem_sql("tunnel", "gtp"),
+    "q28_catalog_flows": _catalog_flow_sql("found"),
+    "q29_catalog_flows_lossless": _catalog_flow_sql("found_all"),
+    "q30_catalog_tunnels": _CATALOG + "SELECT '0x' || format('{:08x}', teid) AS teid_text, split_part(src, ':', 1) AS src, split_part(dst, ':', 1) AS dst, count(*) AS packets, sum(wirelen)::BIGINT AS bytes, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns FROM p WHERE v1u AND whole AND kind = 255 GROUP BY ALL",
+}

@@ -33,6 +33,5 @@ def test_frames_are_decoded_once(spark):
         pytest.skip("no test tables here")
     for name, nodes in {"q01_capture_totals": 0, "q05_fragment_counts": 1, "q06_flows": 1, "q11_gtpu_counters": 1, "q13_tunnels": 1, "q18_capture_span": 0}.items():
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        kept = plan.count("InMemoryTableScan")
-        assert plan.count("MapInArrow") == (nodes if not kept else kept), name  # a kept table is shown wherever it is read
+        assert len({line[line.index("MapInArrow") :] for line in plan.splitlines() if "MapInArrow" in line}) == nodes, name  # a kept table's plan is shown wherever it is read
     spark.catalog.clearCache()
