@@ -14,8 +14,10 @@ from ..operators import flows as W
 from ..operators.decode import FIELDS, decode_frames
 from ..operators.fragments import NEEDED, attribute, once
 from ..schema import STATUSES
-from ..sources.pcap import records_of_bytes
+from ..sources.pcap import FileInfo, records_of_bytes
 from .catalog import catalog_records, predicted
+from . import files, report
+from .analysis import Analysis
 from .export import flow_lines, flow_text, tunnel_lines, tunnel_text
 from .synth import captures_of, synth_frames, synth_packets
 
@@ -179,6 +181,24 @@ def q_catalog_tunnels(spark, sf_dir):
     return tunnel_text(W.tunnels(catalog(spark, sf_dir, *W.TUNNEL_FIELDS))).select(*TUNNEL)
 
 
+def q_capture_ends(spark, sf_dir):
+    return files.ends(spark.read.parquet(f"{sf_dir}/nation.parquet"), sf_dir)
+
+
+#: The header that the synthetic capture would have in a file.
+SYNTH = FileInfo("synth.pcap", nsec=True, version_major=2, version_minor=4, snaplen=65_535, linktype=1, status="EOF")
+
+
+def _report_lines(section: str):
+    def query(spark, sf_dir):
+        analysis = Analysis.of_records(frames(spark, sf_dir))
+        lines = report.sections(analysis, SYNTH, 10)[section].removesuffix("\n").split("\n")
+        analysis.free()
+        return spark.createDataFrame([(k, line) for k, line in enumerate(lines, 1)], "line_no int, line string")
+
+    return query
+
+
 QUERIES = {
     "q01_capture_totals": _counted(*TOTALS),
     "q02_network_mix": _counted(*NETWORK),
@@ -210,6 +230,13 @@ QUERIES = {
     "q28_catalog_flows": _catalog_flows(False),
     "q29_catalog_flows_lossless": _catalog_flows(True),
     "q30_catalog_tunnels": q_catalog_tunnels,
+    "q31_capture_variants": lambda s, d: files.variants(frames(s, d), d),
+    "q32_capture_ends": q_capture_ends,
+    "q33_capture_flows": lambda s, d: files.flows_of_files(frames(s, d), d).select(*FLOW),
+    "q34_report_summary": _report_lines("summary"),
+    "q35_report_flows": _report_lines("flows"),
+    "q36_report_gtpu": _report_lines("gtpu"),
+    "q37_report_tunnels": _report_lines("tunnels"),
 }
 
 #: One row per frame: what the decoder must find.
@@ -333,3 +360,66 @@ ORACLE |= {
     "q29_catalog_flows_lossless": _catalog_flow_sql("found_all"),
     "q30_catalog_tunnels": _CATALOG + "SELECT '0x' || format('{:08x}', teid) AS teid_text, split_part(src, ':', 1) AS src, split_part(dst, ':', 1) AS dst, count(*) AS packets, sum(wirelen)::BIGINT AS bytes, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns FROM p WHERE v1u AND whole AND kind = 255 GROUP BY ALL",
 }
+
+
+def _count(condition: str) -> str:
+    return f"(SELECT count(*) FROM p WHERE {condition})"
+
+
+def _share(condition: str) -> str:
+    return f"{_count(condition)} || ' (' || format('{{:.1f}}', 100.0 * {_count(condition)} / {_count('true')}) || '%)'"
+
+
+def _cell(kind: str, value: str) -> str:
+    """A right-aligned number, a left-aligned text, one as wide as its widest (of w), or a value as it is."""
+    if kind.startswith(">"):
+        return f"format('{{:{kind}}}', {value}::VARCHAR)"
+    return f"rpad({value}, {kind if kind.isdigit() else f'w.{kind}::INT'}, ' ')" if kind else value
+
+
+def _table_sql(title: str, columns: list[tuple[str, str, str]], source: str) -> str:
+    """Lines of a ranked table of ``source``: a blank, the title, the names and ten rows; a column is (name, kind of cell, value)."""
+    line = lambda values: " || '  ' || ".join(_cell(kind, value) for (_, kind, _), value in zip(columns, values, strict=True))
+    widths = ", ".join(f"greatest(3, max(length({c}))) AS {c}" for c in ("src", "dst"))
+    return (
+        f", r AS (SELECT *, row_number() OVER ({_RANK}) AS n FROM {source} {_RANK} LIMIT 10), w AS (SELECT {widths} FROM r) "
+        f"SELECT 1 AS line_no, '' AS line UNION ALL SELECT 2, {title} UNION ALL SELECT 3, {line([repr(name) for name, _, _ in columns])} FROM w "
+        f"UNION ALL SELECT (3 + n)::INT, {line([value for _, _, value in columns])} FROM r, w"
+    )
+
+
+_MILLIS = "((r.last_ts_ns - r.first_ts_ns) // 1000000000) || '.' || lpad(((r.last_ts_ns - r.first_ts_ns) % 1000000000 // 1000000)::VARCHAR, 3, '0') || ' s'"
+_SIZES = [("packets", ">8", "r.packets"), ("bytes", ">10", "r.bytes"), ("duration", ">12", _MILLIS)]
+_UTC = lambda x: f"strftime(make_timestamp(({x}) // 1000), '%Y-%m-%d %H:%M:%S.%f') || ' UTC'"
+_SUMMARY = [
+    "'File:        synth.pcap'", "'Format:      pcap 2.4, little-endian, nanosecond timestamps, snaplen 65535, Ethernet'", f"'Packets:     ' || {_count('true')}",
+    "'Bytes:       ' || (SELECT sum(wirelen)::BIGINT FROM p) || ' on the wire, ' || (SELECT sum(caplen)::BIGINT FROM p) || ' captured'",
+    f"'First:       ' || (SELECT {_UTC('min(ts_ns)')} FROM p)", f"'Last:        ' || (SELECT {_UTC('max(ts_ns)')} FROM p)",
+    "(SELECT 'Duration:    ' || ((max(ts_ns) - min(ts_ns)) // 1000000000) || '.' || lpad(((max(ts_ns) - min(ts_ns)) % 1000000000 // 1000)::VARCHAR, 6, '0') || ' s (' || format('{:.1f}', count(*) / ((max(ts_ns) - min(ts_ns)) / 1e9))"
+    " || ' packets/s, ' || format('{:.3f}', sum(wirelen) * 8.0::DOUBLE / ((max(ts_ns) - min(ts_ns)) / 1e9) / 1e6) || ' Mbit/s)' FROM p)",
+    "''", f"'Network:     IPv4 ' || {_share('version = 4')} || ', IPv6 ' || {_share('version = 6')} || ', non-IP ' || {_share('c = 14')}",
+    f"'Transport:   TCP ' || {_count('proto = 6')} || ', UDP ' || {_count('proto = 17')} || ', ICMP ' || {_count('proto = 1')} || ', ICMPv6 0, other 0'", f"'VLAN:        ' || {_count('c = 13')} || ' tagged frames'",
+    f"'Fragments:   ' || {_count('c = 17')} || ' first, ' || {_count('c = 18')} || ' non-first (' || {_count('c = 18')} || ' matched to their first fragment''s ports)'", "'Flows:       ' || (SELECT count(*) FROM f)",
+    f"'Problems:    ' || {_count('status BETWEEN 1 AND 11')} || ' truncated, ' || {_count('status > 11')} || ' malformed (excluded from flows)'",
+]
+_GTPU = [
+    "''", f"'GTP-U:       ' || {_count('c IN (15, 16)')} || ' packets on UDP port 2152'",
+    "'  Messages:  G-PDU ' || " + _count("c = 15") + "".join(f" || ', {n} ' || {_count(f'c = 16 AND q % 4 = {k}')}" for k, n in enumerate(("echo request", "echo response", "error indication", "end marker"))) + " || ', other 0'",
+    f"'  Options:   sequence number in ' || {_count('c = 16 AND q % 4 < 3')} || ', extension headers in 0'",
+    f"'  Inner IP:  IPv4 ' || {_count('c = 15')} || ', IPv6 0; TCP ' || {_count('c = 15')} || ', UDP 0, ICMP 0, ICMPv6 0, other 0'", "'  Tunnels:   ' || (SELECT count(*) FROM t) || ' (' || (SELECT count(DISTINCT teid) FROM t) || ' distinct TEIDs)'",
+    "'  Skipped:   0 GTP'' or other version, 0 GTP-U in GTP-U, 0 fragmented datagrams on port 2152'", "'  Problems:  0 truncated, 0 malformed in GTP-U headers (not added to tunnels)'", "'             0 truncated, 0 malformed in user packets (still added to tunnels)'",
+]
+_lines = lambda parts: " UNION ALL ".join(f"SELECT {k} AS line_no, {x} AS line" for k, x in enumerate(parts, 1))
+ORACLE |= {
+    "q31_capture_variants": PREDICTED + files.VARIANTS_SQL,
+    "q32_capture_ends": files.ENDS_SQL,
+    "q33_capture_flows": ORACLE["q06_flows"],
+    "q34_report_summary": PREDICTED + _lines(_SUMMARY) + f" UNION ALL SELECT ({len(_SUMMARY)} + row_number() OVER (ORDER BY status))::INT, '  ' || rpad(CASE status " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _STATUS_TEXT.items()) + " END, 40, ' ') || ' ' || count(*) FROM p WHERE status > 0 GROUP BY status",
+    "q35_report_flows": PREDICTED + _table_sql(
+        "'Top 10 of ' || (SELECT count(*) FROM f) || ' flows by bytes (src = sender of the first packet seen):'",
+        [("#", ">3", "r.n"), ("proto", "6", "r.protocol"), ("src", "src", "r.src"), ("dst", "dst", "r.dst"), *_SIZES, ("tcp flags", "", "CASE WHEN r.proto = 6 THEN r.flags ELSE '-' END")], "ft"),
+    "q36_report_gtpu": PREDICTED + _lines(_GTPU),
+    "q37_report_tunnels": PREDICTED + _table_sql(
+        "'Top 10 of ' || (SELECT count(*) FROM t) || ' GTP-U tunnels by bytes (one direction each; the receiver chose the TEID):'",
+        [("#", ">3", "r.n"), ("teid", "10", "r.teid_text"), ("src", "src", "r.src"), ("dst", "dst", "r.dst"), *_SIZES], "t"),
+}

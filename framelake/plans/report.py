@@ -101,17 +101,21 @@ def gtpu(c: dict, problems: list[tuple[str, int]], tunnels: int, teids: int) ->
     return "\n".join(lines) + "\n"
 
 
-def report(analysis: Analysis, info: FileInfo, n: int) -> str:
-    """The whole report with the n largest flows and tunnels; only shown rows and single counts reach the driver."""
+def sections(analysis: Analysis, info: FileInfo, n: int) -> dict[str, str]:
+    """The report's parts by name, with the n largest flows and tunnels; only shown rows and single counts reach the driver."""
     c = analysis.counters().first().asDict()
     told = lambda df: [(r.text, r.packets) for r in df.collect()]
     flows, tunnels = analysis.flows().cache(), analysis.tunnels().cache()
     flow_count, tunnel_count = flows.count(), tunnels.count()
     shown = lambda t, text: text(top(t, n)).collect() if n else []
-    out = summary(info, c, told(analysis.problems()), flow_count) + top_flows(shown(flows, flow_text), flow_count)
-    out += gtpu(c, told(analysis.gtp_problems()), tunnel_count, distinct_teids(tunnels).first().teids) + top_tunnels(shown(tunnels, tunnel_text), tunnel_count)
+    out = {
+        "summary": summary(info, c, told(analysis.problems()), flow_count), "flows": top_flows(shown(flows, flow_text), flow_count),
+        "gtpu": gtpu(c, told(analysis.gtp_problems()), tunnel_count, distinct_teids(tunnels).first().teids), "tunnels": top_tunnels(shown(tunnels, tunnel_text), tunnel_count),
+    }
     flows.unpersist()
     tunnels.unpersist()
     return out
 
 
+def report(analysis: Analysis, info: FileInfo, n: int) -> str:
+    return "".join(sections(analysis, info, n).values())
