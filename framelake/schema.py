@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Decode status by code: name and text. Codes 1 to 11 mean that the capture stopped early, later ones that the packet is wrong.
@@ -75,4 +76,6 @@ DECODED = (
 
 def status_dim(spark: SparkSession) -> DataFrame:
     """code, name, text, is_truncation: 28 rows, always small enough to broadcast."""
-    return spark.createDataFrame([(k, n, t, 1 <= k <= LAST_TRUNCATION) for k, (n, t) in enumerate(STATUSES)], "code int, name string, text string, is_truncation boolean")
+    codes = range(len(STATUSES))
+    columns = {"code": pa.array(codes, pa.int32()), "name": [n for n, _ in STATUSES], "text": [t for _, t in STATUSES], "is_truncation": [1 <= k <= LAST_TRUNCATION for k in codes]}
+    return spark.createDataFrame(pa.table(columns))

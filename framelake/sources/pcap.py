@@ -304,7 +304,7 @@ def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYT
 
     size = sum(os.path.getsize(p) for p in names if os.path.isfile(p))
     cores = spark.sparkContext.defaultParallelism
-    files = spark.createDataFrame([(p,) for p in names], "file string").repartition(max(1, min(len(names), 4 * cores)), "file")
+    files = spark.createDataFrame(pa.table({"file": pa.array(names, pa.string())})).repartition(max(1, min(len(names), 4 * cores)), "file")
     ranges = files.mapInArrow(walk, RANGE_DDL)
     return ranges.repartition(max(1, min(4096, size // range_bytes + 1, 64 * cores)), "file", "start").mapInArrow(read, RECORDS)
 

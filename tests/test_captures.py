@@ -12,8 +12,9 @@ from framelake.operators.decode import decode_frames
 from framelake.operators.fragments import attribute
 from framelake.plans import export, report
 from framelake.plans.analysis import Analysis
+from framelake.plans.traffic import traffic
 from framelake.schema import CODE, RECORDS
-from framelake.sources.pcap import open_survey, parse_header, read_anywhere, register, survey, write_pcap
+from framelake.sources.pcap import open_survey, parse_header, read_anywhere, read_captures, register, survey, write_pcap
 
 from .builder import CORE, RAN, RAN2, SERVER, UE, V4_A, V4_B, V6_A, V6_B, eth, extension, fragment, gtp, hop_by_hop, icmp, ip, option, record, tcp, tunnel, udp, v4, v6, vlan
 
@@ -180,6 +181,66 @@ def test_source(spark, tmp_path, nsec, big):
     assert sorted((r.file[-6:], r.record_no, r.ts_ns, r.wirelen, bytes(r.data)) for r in records.collect()) == got and infos.count() == 2
 
 
+def test_names_with_commas_and_brackets(spark, tmp_path):
+    rows = [(k * 10**9, 60, bytes([k]) * 60) for k in range(2)]
+    for name in ("a,b.pcap", "c[1].pcap", "c1.pcap"):
+        write_pcap(str(tmp_path / name), rows if name != "c1.pcap" else rows[:1])
+    out, err = io.StringIO(), io.StringIO()
+    assert main(["-n", "0", str(tmp_path / "a,b.pcap")], spark, out, err) == 0 and "Packets:     2\n" in out.getvalue() and not err.getvalue()
+    assert read_captures(spark, str(tmp_path / "c[1].pcap")).count() == 2 and read_captures(spark, str(tmp_path / "c?.pcap")).count() == 1
+    register(spark)
+    assert spark.read.format("pcap").load(str(tmp_path / "a,b.pcap")).count() == 2
+
+
+def test_ranges_read_by_tasks_equal_the_walk(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**18) // 1000 * 1000, rng.randrange(3000), rng.randbytes(rng.choice([0, 1, 14, 60, 900]))) for _ in range(700)]
+    path = str(tmp_path / "x.pcap")
+    for big in (False, True):
+        write_pcap(path, rows, True, big)
+        want = [(k, ts, max(w, len(d)), d) for k, (ts, w, d) in enumerate(rows)]
+        for size in (100, 5_000, 1 << 30):
+            for read in (read_captures(spark, path, range_bytes=size), spark.read.format("pcap").option("rangeBytes", size).load(path)):
+                assert sorted((r.record_no, r.ts_ns, r.wirelen, bytes(r.data)) for r in read.collect()) == want
+    whole = open(path, "rb").read()
+    for cut in (len(whole) - 1, len(whole) - 700, 30):  # damage ends a file, and what is before it counts
+        open(path, "wb").write(whole[:cut])
+        n = open_survey(path)[0].records
+        assert read_captures(spark, path).count() == spark.read.format("pcap").load(path).count() == n < 700
+
+
+@pytest.mark.parametrize(("nsec", "big"), [(False, True), (True, False)])
+def test_sink(spark, tmp_path, nsec, big):
+    register(spark)
+    rows = [(k * 10**9 + 7_000, 100, bytearray([k % 250]) * (k % 90)) for k in range(500)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "ts_ns long, wirelen long, data binary, k long").repartitionByRange(3, "k").sortWithinPartitions("k")
+    folder = str(tmp_path / "out")
+    df.select("ts_ns", "wirelen", "data").write.format("pcap").mode("append").option("nsec", nsec).option("bigEndian", big).save(folder)
+    got = sorted((r.ts_ns, r.wirelen, bytes(r.data)) for r in spark.read.format("pcap").load(folder).collect())
+    assert got == sorted((ts, w, bytes(d)) for ts, w, d in rows)
+    assert {(f.nsec, f.big_endian, f.status) for f in spark.read.format("pcap").option("table", "files").load(folder).collect()} == {(nsec, big, "EOF")}
+
+
+def test_decoder_takes_odd_tables(spark):
+    df = spark.createDataFrame([("f", 0, 5, 0, None, None, 9, "x"), ("f", 1, 5, 60, 60, bytearray(60), 9, "x"), ("f", 1, 5, 60, 60, bytearray(60), 9, "x")], "file string, record_no long, ts_ns long, caplen int, wirelen long, data binary, STATUS int, extra string")
+    got = decode_frames(df, fields=["status", "has_l2"])
+    assert got.columns == ["file", "record_no", "ts_ns", "caplen", "wirelen", "extra", "status", "has_l2"]
+    assert sorted((r.record_no, r.status, r.has_l2) for r in got.collect()) == [(0, CODE["BAD_SHORT_FRAME"], False), (1, 0, True), (1, 0, True)]
+    assert not decode_frames(df.limit(0)).collect()
+
+
+def test_traffic_is_seeded_and_mixed(spark):
+    one, two = (traffic(spark, 4_000, 300, 0.5, seed=3, partitions=p) for p in (1, 5))
+    key = lambda df: sorted((r.record_no, r.ts_ns, bytes(r.data)) for r in df.collect())
+    assert key(one) == key(two) != key(traffic(spark, 4_000, 300, 0.5, seed=4))
+    a = Analysis.of_records(one)
+    c = a.counters().first()
+    assert c.packets == 4_000 and c.malformed == c.truncated == c.gtp_malformed == c.gtp_truncated == 0 and c.non_ip and c.vlan_tagged and c.icmp and 0.3 < c.gtp_gpdu / 4_000 < 0.7
+    assert c.gtp_inner_tcp and c.gtp_inner_udp and a.tunnels().count() > 100 and a.flows().count() > 50
+    assert not traffic(spark, 100, 10).where("octet_length(data) < 60 OR caplen <> wirelen").count() and not traffic(spark, 0, 1).count()
+    a.free()
+
+
 def test_command_line(tmp_path):
     run = lambda *a: main(list(a), None, io.StringIO(), io.StringIO())
     assert run("-h") == 0 and run() == run("-n") == run("-n", "x", "f") == run("-n", "1000001", "f") == run("-n", "-1", "f") == run("--csv") == run("--bad", "f") == run("f", "g") == 1

@@ -10,11 +10,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["q05_fragment_counts", "q07_top_flows", "q19_flow_csv_lines", "q22_top_flows_large", "q24_pcap_roundtrip"])
+@pytest.mark.parametrize("name", ["q05_fragment_counts", "q07_top_flows", "q19_flow_csv_lines", "q22_top_flows_large", "q24_pcap_roundtrip", "q31_capture_variants", "q32_capture_ends", "q33_capture_flows", "q34_report_summary", "q35_report_flows", "q36_report_gtpu", "q37_report_tunnels"])
 def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     db = duckdb.connect()
-    for table in ("events", "lineitem"):
+    for table in ("events", "lineitem", "nation"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.execute(queries.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
