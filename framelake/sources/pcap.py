@@ -304,7 +304,9 @@ def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYT
 
     size = sum(os.path.getsize(p) for p in names if os.path.isfile(p))
     cores = spark.sparkContext.defaultParallelism
-    files = spark.createDataFrame(pa.table({"file": pa.array(names, pa.string())})).repartition(max(1, min(len(names), 4 * cores)), "file")
+    # sizes and times are part of the plan, so that nothing kept of an earlier state of the files is taken for them
+    stamps = [f"{os.path.getsize(p)} {os.stat(p).st_mtime_ns}" if os.path.isfile(p) else "" for p in names]
+    files = spark.createDataFrame(pa.table({"file": pa.array(names, pa.string()), "stamp": pa.array(stamps, pa.string())})).repartition(max(1, min(len(names), 4 * cores)), "file")
     ranges = files.mapInArrow(walk, RANGE_DDL)
     return ranges.repartition(max(1, min(4096, size // range_bytes + 1, 64 * cores)), "file", "start").mapInArrow(read, RECORDS)
 
