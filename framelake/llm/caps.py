@@ -200,3 +200,20 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
 def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of one label, and everything that links reach.
+OP3_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {SIMILARITY}
+), reach AS (
+  SELECT vec_id AS i, vec_id AS r FROM v UNION SELECT links.j, reach.r FROM reach JOIN links USING (i) WHERE reach.r < links.j
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE i = vec_id) AS n_links, (SELECT min(r) FROM reach WHERE i = vec_id)::BIGINT AS component_id,
+       (SELECT min(r) FROM reach WHERE i = vec_id) = vec_id AS kept
+FROM v
+"""

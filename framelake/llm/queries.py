@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pieces": pieces.op10_pieces,
 }
 ORACLE = {
+    "op3_caps": caps.OP3_SQL,
     "op6_chat": chat.OP6_SQL,
     "op8_fixity": fixity.OP8_SQL,
 }
