@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, literal, table
+from .common import cut, drop_cut, literal, table
 
 #: Sampled keys for each range; more make the ranges more even, never the result different.
 SAMPLES_PER_RANGE = 16
@@ -94,7 +94,9 @@ def lay_out(df: DataFrame, key: Column, tie: Column, size: Column, ranges: int |
     order = Window.partitionBy("range").orderBy("k", "d", "r")
     within = F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")
     placed = ranged.select(*kept, "s", (start.n + F.row_number().over(order) - 1).alias("at"), (start.s + within).alias("before"))
-    return Layout(cut(placed, "order"), got.n, got.s)
+    order_kept = cut(placed, "order")
+    drop_cut(narrow)
+    return Layout(order_kept, got.n, got.s)
 
 
 def shard(df: DataFrame, shards: int, text: str = "text", tie: str = "doc_id", overhead: int = 16) -> DataFrame:
@@ -102,7 +104,8 @@ def shard(df: DataFrame, shards: int, text: str = "text", tie: str = "doc_id", o
 
     Rows go in the order of (hash of the text, tie) and shard i takes those whose middle byte lies in the i-th part of
     all bytes, so no shard differs from the mean by more than its largest row. Null texts count as empty. Ties and
-    repeated rows are kept, each with a slot of its own; an empty table gives an empty one. Other columns are ignored.
+    repeated rows are kept, each with a slot of its own; whole texts count; an empty table gives an empty one. Other columns
+    are ignored.
     Returns tie, size, text_crc32, shard, slot.
     """
     utf8 = F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -3,7 +3,7 @@
 import random
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, node string, score string, spans string, ids string, mix_rate string, copies string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, node string, Score string, Spans string, IDS string, Mix_Rate string, copies string"
 
 
 def prose(rng: random.Random, n: int) -> str:
