@@ -78,10 +78,5 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long"))
 
 
-def utc(ns: Column) -> Column:
-    """UTC time to the microsecond; the session's time zone must be UTC."""
-    return F.date_format(F.timestamp_micros(_div(ns, 1000)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-
-
 def teid_text(teid: Column) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(teid)), 8, "0"))

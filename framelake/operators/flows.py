@@ -79,6 +79,11 @@ def ranked(table: DataFrame) -> DataFrame:
     return table.orderBy(*rank_order(table))
 
 
+def each(table: DataFrame):
+    """All rows in rank order, one after the other; the driver holds one part at a time."""
+    return ranked(table).toLocalIterator(prefetchPartitions=True)
+
+
 def find(table: DataFrame, **key) -> DataFrame:
     """The row of one key, if there is one."""
     for name, value in key.items():

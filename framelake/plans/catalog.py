@@ -142,6 +142,8 @@ def _entries() -> list[Entry]:
     add("icmp", four(1, echo(8)), proto=1, **bare4)
     add("icmpv6", six(58, echo(128)), proto=58, **bare6)
     add("tcp over ipv6", six(6, tcp(1020, 1021)), **on6(1020))
+    for port, src, dst in ((1090, "::ffff:192.0.2.1", "::ffff:0.0.0.0"), (1092, "::", "::1"), (1094, "2001:0:0:1::1", "1::2:0:0:3:4"), (1096, "2001:db8:0:1:1:1:1:1", "fe80::"), (1098, "::102:304", "abcd:12:1000:ffff:a:b0:c00:dead")):
+        add(f"addresses {src} and {dst}", six(6, tcp(port, port + 1), src=src, dst=dst), version=6, proto=6, src=f"[{src}]:{port}", dst=f"[{dst}]:{port + 1}")
     add("another protocol", four(47, fill), proto=47, **bare4)
     add("no ip", ether(0x0806, bytes(46)), non_ip=True)
     add("one tag", ether(0x8100, tag(7, 0x0800, ip4(17, udp(1030, 1031)))), vlans=1, **on4(1030, 17))

@@ -185,6 +185,13 @@ def q_capture_ends(spark, sf_dir):
     return files.ends(spark.read.parquet(f"{sf_dir}/nation.parquet"), sf_dir)
 
 
+def q_flow_lookup(spark, sf_dir):
+    """One flow by its key, and no row for a key that there isn't."""
+    rows = flow_rows(spark, sf_dir)
+    key = rows.where("proto = 17").orderBy(*W.rank_order(rows)).select(*W.KEY).first().asDict()
+    return flow_text(W.find(rows, **key).unionByName(W.find(rows, **(key | {"port_a": 1})))).select(*FLOW)
+
+
 #: The header that the synthetic capture would have in a file.
 SYNTH = FileInfo("synth.pcap", nsec=True, version_major=2, version_minor=4, snaplen=65_535, linktype=1, status="EOF")
 
@@ -237,6 +244,7 @@ QUERIES = {
     "q35_report_flows": _report_lines("flows"),
     "q36_report_gtpu": _report_lines("gtpu"),
     "q37_report_tunnels": _report_lines("tunnels"),
+    "q38_flow_lookup": q_flow_lookup,
 }
 
 #: One row per frame: what the decoder must find.
@@ -418,6 +426,7 @@ ORACLE |= {
     "q35_report_flows": PREDICTED + _table_sql(
         "'Top 10 of ' || (SELECT count(*) FROM f) || ' flows by bytes (src = sender of the first packet seen):'",
         [("#", ">3", "r.n"), ("proto", "6", "r.protocol"), ("src", "src", "r.src"), ("dst", "dst", "r.dst"), *_SIZES, ("tcp flags", "", "CASE WHEN r.proto = 6 THEN r.flags ELSE '-' END")], "ft"),
+    "q38_flow_lookup": PREDICTED + f"SELECT {_FLOW_SQL} FROM ft WHERE proto = 17 {_RANK} LIMIT 1",
     "q36_report_gtpu": PREDICTED + _lines(_GTPU),
     "q37_report_tunnels": PREDICTED + _table_sql(
         "'Top 10 of ' || (SELECT count(*) FROM t) || ' GTP-U tunnels by bytes (one direction each; the receiver chose the TEID):'",

@@ -335,6 +335,14 @@ def files_of_bytes(captures: DataFrame, path: str = "path", content: str = "cont
     return captures.select(path, content).mapInArrow(run, FILES)
 
 
+def read_stream(spark: SparkSession, stream, name: str = "stream") -> tuple[DataFrame, DataFrame]:
+    """(records, files) of a capture from an open binary stream, say a pipe; it is read to its end and closed, and is one binary value."""
+    with stream:
+        content = stream.read()
+    captures = spark.createDataFrame(pa.table({"path": pa.array([name]), "content": pa.array([content], pa.binary())}))
+    return records_of_bytes(captures), files_of_bytes(captures)
+
+
 def read_anywhere(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, files) of captures in any store Spark can read; each file is one binary value, so of 2 GB at most, read by one task."""
     captures = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -14,7 +14,7 @@ from framelake.plans import export, report
 from framelake.plans.analysis import Analysis
 from framelake.plans.traffic import traffic
 from framelake.schema import CODE, RECORDS
-from framelake.sources.pcap import open_survey, parse_header, read_anywhere, read_captures, register, survey, write_pcap
+from framelake.sources.pcap import open_survey, parse_header, read_anywhere, read_captures, read_stream, register, survey, write_pcap
 
 from .builder import CORE, RAN, RAN2, SERVER, UE, V4_A, V4_B, V6_A, V6_B, eth, extension, fragment, gtp, hop_by_hop, icmp, ip, option, record, tcp, tunnel, udp, v4, v6, vlan
 
@@ -23,6 +23,7 @@ def analyse(spark, rows, **options):
     return Analysis.of_records(spark.createDataFrame(rows, RECORDS), **options)
 
 
+#: What the captures below must come to (counts, lengths, ranks, texts); their frames are of our own builder.
 def mixed():
     there, back = (V4_A, V4_B), (V4_B, V4_A)
     frames = [
@@ -221,6 +222,19 @@ def test_sink(spark, tmp_path, nsec, big):
     assert {(f.nsec, f.big_endian, f.status) for f in spark.read.format("pcap").option("table", "files").load(folder).collect()} == {(nsec, big, "EOF")}
 
 
+def test_stream_and_walk(spark, tmp_path):
+    path = str(tmp_path / "s.pcap")
+    write_pcap(path, [(r[2], r[4], r[5]) for r in mixed()])
+    stream = open(path, "rb")
+    records, files = read_stream(spark, stream, "pipe")
+    assert stream.closed and [(f.file, f.records, f.status) for f in files.collect()] == [("pipe", 11, "EOF")]
+    flows = Analysis.of_records(records).flows()
+    assert [r.bytes for r in W.each(flows)] == sorted((r.bytes for r in flows.collect()), reverse=True)
+    with pytest.raises(ValueError):
+        W.top(flows, 1_000_001)
+    assert W.top(flows, 0).count() == 0
+
+
 def test_decoder_takes_odd_tables(spark):
     df = spark.createDataFrame([("f", 0, 5, 0, None, None, 9, "x"), ("f", 1, 5, 60, 60, bytearray(60), 9, "x"), ("f", 1, 5, 60, 60, bytearray(60), 9, "x")], "file string, record_no long, ts_ns long, caplen int, wirelen long, data binary, STATUS int, extra string")
     got = decode_frames(df, fields=["status", "has_l2"])
