@@ -21,17 +21,32 @@ def _join(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _ipv4(proto: int, payload: Column, size, src: Column, dst: Column, ident=0x1234, fragment=0, ihl: str = "5", total=None) -> Column:
-    head = _join("4", ihl, "00", h(total if total is not None else size + 20, 4), h(ident, 4), h(fragment, 4), "40", h(proto, 2), "0000", src, dst)
-    return _join(head, payload)
+# The frames are one SQL expression, put together as text: as columns it would be thousands of calls for every query.
 
 
-def _tcp(sport: Column, dport: Column, flags, k: Column, offset: str = "5") -> Column:
-    return _join(h(sport, 4), h(dport, 4), "000003E8", "000007D0", offset, "0", h(flags, 2), "FFFF", "0000", "0000", F.repeat(F.lit("AB"), k.cast("int")))
+def hx(value: str | int, digits: int) -> str:
+    """SQL of fixed-width hexadecimal, of a number or of the SQL of one."""
+    return f"'{value:0{digits}X}'" if isinstance(value, int) else f"lpad(hex({value}), {digits}, '0')"
 
 
-def _udp(sport: Column, dport: Column, payload: Column, size) -> Column:
-    return _join(h(sport, 4), h(dport, 4), h(size, 4), "0000", payload)
+def cat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def case(*ways: tuple[str, str], rest: str) -> str:
+    return f"CASE {' '.join(f'WHEN {when} THEN {then}' for when, then in ways)} ELSE {rest} END"
+
+
+def _ipv4(proto: int, payload: str, size: str, src: str, dst: str, ident="4660", fragment=0, ihl="5", total: str | None = None) -> str:
+    return cat(f"'4{ihl}00'", hx(total or f"({size}) + 20", 4), hx(ident, 4), hx(fragment, 4), "'40'", hx(proto, 2), "'0000'", src, dst, payload)
+
+
+def _tcp(sport: str, dport: str, flags: str, offset: str = "5") -> str:
+    return cat(hx(sport, 4), hx(dport, 4), f"'000003E8000007D0{offset}0'", hx(flags, 2), "'FFFF00000000'", FILL)
+
+
+def _udp(sport: str, dport: str, payload: str, size: str) -> str:
+    return cat(hx(sport, 4), hx(dport, 4), hx(size, 4), "'0000'", payload)
 
 
 def _source(events: DataFrame) -> DataFrame:
@@ -48,44 +63,41 @@ def synth_frames(events: DataFrame) -> DataFrame:
     rows = now.join(before, "e", "left")
     later = F.col("e") % 20 == 18
     rows = rows.withColumns({"c": F.col("e") % 20, "q": F.expr("e div 20"), "au": F.when(later, F.col("pu")).otherwise(F.col("u")), "ak": F.when(later, F.col("pk")).otherwise(F.col("k")), "up": (F.when(later, F.col("e") - 1).otherwise(F.col("e")) % 2) == 0})
-    c, q, k, up = F.col("c"), F.col("q"), F.col("k"), F.col("up")
-    client4, server4 = _join("0A00", h(F.expr("au div 256"), 2), h(F.col("au") % 256, 2)), _join("C63364", h(F.col("ak") + 1, 2))
-    client6, server6 = _join("20010DB8" + "0" * 20, h(F.col("au") + 1, 4)), _join("20010DB800FF" + "0" * 16, h(F.col("ak") + 1, 4))
-    ran, core = _join("AC1001", h(F.col("u") % 4 + 11, 2)), F.lit("AC100001")
-    src = lambda a, b: F.when(up, a).otherwise(b)
-    port = F.col("au") + 32768
-    ports = lambda server: (src(port, F.lit(server)), src(F.lit(server), port))
-    v4, v6 = (src(client4, server4), src(server4, client4)), (src(client6, server6), src(server6, client6))
-    tunnel = (src(ran, core), src(core, ran))
-    eth = lambda kind, rest: _join(MACS, kind, rest)
-    fill = F.repeat(F.lit("AB"), k.cast("int"))
-    flags = F.when(q % 4 == 0, 0x02).when(q % 4 == 1, 0x10).when(q % 4 == 2, 0x18).otherwise(0x11)
-    tcp = lambda f, offset="5": _tcp(*ports(443), f, k, offset)
-    plain_tcp = lambda **o: eth("0800", _ipv4(6, tcp(0x10), k + 20, *v4, **o))
-    inner = _ipv4(6, tcp(0x10), k + 20, *v4)
-    gtp_port = F.lit(2152)
-    teid = F.col("u") * 2 + F.when(up, 1).otherwise(2)
-    gpdu = _join("30FF", h(k + 40, 4), h(teid, 8), inner)
-    signal = F.when(q % 4 == 3, _join("30FE0000", h(teid, 8))).otherwise(_join("32", F.when(q % 4 == 0, "01").when(q % 4 == 1, "02").otherwise("1A"), "0004", "00000000", h(q % 65536, 4), "0000"))
-    signal_size = F.when(q % 4 == 3, 8).otherwise(12)
-    broken = (
-        F.when(q % 6 == 0, plain_tcp(ihl="3")).when(q % 6 == 1, plain_tcp(total=19)).when(q % 6 == 2, eth("0800", _ipv4(6, tcp(0x10, "3"), k + 20, *v4)))
-        .when(q % 6 == 3, eth("0800", _ipv4(17, _udp(*ports(53), fill, 4), k + 8, *v4))).otherwise(plain_tcp())
+    return rows.select(F.lit("synth").alias("file"), F.col("e").alias("record_no"), "ts_ns", F.expr(f"unhex({_frame_sql()})").alias("whole"), F.expr("CASE WHEN c = 19 AND q % 6 = 4 THEN 44 WHEN c = 19 AND q % 6 = 5 THEN 10 END").alias("cut")).selectExpr(
+        "file", "record_no", "ts_ns", "octet_length(coalesce(substring(whole, 1, cut), whole)) AS caplen", "CAST(octet_length(whole) AS BIGINT) AS wirelen", "coalesce(substring(whole, 1, cut), whole) AS data"
+    )
+
+
+FILL = "repeat('AB', CAST(k AS INT))"
+
+
+def _frame_sql() -> str:
+    """SQL of a frame in hexadecimal, from e, u, k, c, q, up and the client's and server's numbers au and ak."""
+    src = lambda a, b: f"if(up, {a}, {b})"
+    client4, server4 = cat("'0A00'", hx("au div 256", 2), hx("au % 256", 2)), cat("'C63364'", hx("ak + 1", 2))
+    client6, server6 = cat("'20010DB8" + "0" * 20 + "'", hx("au + 1", 4)), cat("'20010DB800FF" + "0" * 16 + "'", hx("ak + 1", 4))
+    ran, core = cat("'AC1001'", hx("u % 4 + 11", 2)), "'AC100001'"
+    ports = lambda server: (src("au + 32768", str(server)), src(str(server), "au + 32768"))
+    v4, v6, tunnel = (src(client4, server4), src(server4, client4)), (src(client6, server6), src(server6, client6)), (src(ran, core), src(core, ran))
+    eth = lambda kind, rest: cat(f"'{MACS}{kind}'", rest)
+    tcp = lambda flags="16", offset="5": _tcp(*ports(443), flags, offset)
+    plain = lambda **o: eth("0800", _ipv4(6, tcp(), "k + 20", *v4, **o))
+    flags = case(("q % 4 = 0", "2"), ("q % 4 = 1", "16"), ("q % 4 = 2", "24"), rest="17")
+    teid = "u * 2 + if(up, 1, 2)"
+    gpdu = cat("'30FF'", hx("k + 40", 4), hx(teid, 8), _ipv4(6, tcp(), "k + 20", *v4))
+    signal = case(("q % 4 = 3", cat("'30FE0000'", hx(teid, 8))), rest=cat("'32'", case(("q % 4 = 0", "'01'"), ("q % 4 = 1", "'02'"), rest="'1A'"), "'000400000000'", hx("q % 65536", 4), "'0000'"))
+    size = "if(q % 4 = 3, 8, 12)"
+    broken = case(
+        ("q % 6 = 0", plain(ihl="3")), ("q % 6 = 1", plain(total="19")), ("q % 6 = 2", eth("0800", _ipv4(6, tcp(offset="3"), "k + 20", *v4))),
+        ("q % 6 = 3", eth("0800", _ipv4(17, _udp(*ports(53), FILL, "4"), "k + 8", *v4))), rest=plain(),
     )
-    frame = (
-        F.when(c <= 6, eth("0800", _ipv4(6, tcp(flags), k + 20, *v4))).when(c <= 10, eth("0800", _ipv4(17, _udp(*ports(53), fill, k + 8), k + 8, *v4)))
-        .when(c == 11, eth("0800", _ipv4(1, _join(src(F.lit("08"), F.lit("00")), "00000000420001", fill), k + 8, *v4)))
-        .when(c == 12, eth("86DD", _join("60000000", h(k + 20, 4), "0640", *v6, tcp(0x10))))
-        .when(c == 13, eth("8100", _join(h(F.col("u") % 3 + 100, 4), "0800", _ipv4(17, _udp(*ports(5004), fill, k + 8), k + 8, *v4))))
-        .when(c == 14, eth("0806", F.lit("00" * 46)))
-        .when(c == 15, eth("0800", _ipv4(17, _udp(gtp_port, gtp_port, gpdu, k + 56), k + 56, *tunnel)))
-        .when(c == 16, eth("0800", _ipv4(17, _udp(gtp_port, gtp_port, signal, signal_size + 8), signal_size + 8, *tunnel)))
-        .when(c == 17, eth("0800", _ipv4(17, _udp(*ports(4500), fill, k + 1480), k + 8, *v4, ident=q % 65536, fragment=0x2000)))
-        .when(c == 18, eth("0800", _ipv4(17, fill, k, *v4, ident=q % 65536, fragment=185))).otherwise(broken)
+    return case(
+        ("c <= 6", eth("0800", _ipv4(6, tcp(flags), "k + 20", *v4))), ("c <= 10", eth("0800", _ipv4(17, _udp(*ports(53), FILL, "k + 8"), "k + 8", *v4))),
+        ("c = 11", eth("0800", _ipv4(1, cat(src("'08'", "'00'"), "'00000000420001'", FILL), "k + 8", *v4))), ("c = 12", eth("86DD", cat("'60000000'", hx("k + 20", 4), "'0640'", *v6, tcp()))),
+        ("c = 13", eth("8100", cat(hx("u % 3 + 100", 4), "'0800'", _ipv4(17, _udp(*ports(5004), FILL, "k + 8"), "k + 8", *v4)))), ("c = 14", f"'{MACS}0806{'00' * 46}'"),
+        ("c = 15", eth("0800", _ipv4(17, _udp("2152", "2152", gpdu, "k + 56"), "k + 56", *tunnel))), ("c = 16", eth("0800", _ipv4(17, _udp("2152", "2152", signal, f"{size} + 8"), f"{size} + 8", *tunnel))),
+        ("c = 17", eth("0800", _ipv4(17, _udp(*ports(4500), FILL, "k + 1480"), "k + 8", *v4, ident="q % 65536", fragment=0x2000))), ("c = 18", eth("0800", _ipv4(17, FILL, "k", *v4, ident="q % 65536", fragment=185))), rest=broken,
     )
-    whole = rows.select(F.lit("synth").alias("file"), F.col("e").alias("record_no"), "ts_ns", F.unhex(frame).alias("whole"), F.when((c == 19) & (q % 6 == 4), 44).when((c == 19) & (q % 6 == 5), 10).alias("cut"))
-    data = F.when(F.col("cut").isNotNull(), F.expr("substring(whole, 1, cut)")).otherwise(F.col("whole"))
-    return whole.select("file", "record_no", "ts_ns", F.octet_length(data).alias("caplen"), F.octet_length("whole").cast("long").alias("wirelen"), data.alias("data"))
 
 
 def captures_of(records: DataFrame, rows: int = 10_000) -> DataFrame:
