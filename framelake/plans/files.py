@@ -15,7 +15,7 @@ from ..operators import flows as W
 from ..operators.decode import decode_frames
 from ..operators.fragments import NEEDED, attribute, once
 from ..schema import READER_STATUSES
-from ..sources.pcap import read_captures, register
+from ..sources.pcap import plain_path, read_captures, register
 from ..workspace import shared_dir
 from .export import flow_text
 
@@ -25,7 +25,7 @@ BLOCK = 5_000
 
 def folder(spark: SparkSession, name: str, sf_dir: str) -> str:
     """An empty folder of this session's own, the same for the same query and tables, so that nothing piles up."""
-    path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}".removeprefix("file://")
+    path = plain_path(f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}")
     shutil.rmtree(path, ignore_errors=True)
     os.makedirs(path)
     return path

@@ -171,14 +171,15 @@ def expand(path: str) -> list[str]:
     return [path] if os.path.exists(path) else sorted(glob.glob(path)) or [path]
 
 
-def _plain(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file:///") else path
+def plain_path(path: str) -> str:
+    """A path as Python opens it, of one that Spark names file:/x or file:///x."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:/") else path
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options):
         paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
-        self.paths = [p for x in paths for p in expand(_plain(x))]
+        self.paths = [p for x in paths for p in expand(plain_path(x))]
         self.files = options.get("table", "records") == "files"
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
@@ -225,7 +226,7 @@ class PcapWriter(DataSourceArrowWriter):
     """Each task writes its records, in their order, as one capture; a name that starts with a dot until all tasks are done."""
 
     def __init__(self, options, overwrite: bool):
-        self.folder = _plain(options["path"])
+        self.folder = plain_path(options["path"])
         self.order = ">" if options.get("bigendian", options.get("bigEndian", "false")).lower() == "true" else "<"
         self.nsec = options.get("nsec", "false").lower() == "true"
         self.snaplen = int(options.get("snaplen", 65_535))
@@ -289,7 +290,7 @@ def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYT
 
     The driver holds names only. Only ranges (file, bounds) are shuffled, never a packet.
     """
-    names = [p for x in paths for p in expand(_plain(x))]
+    names = [p for x in paths for p in expand(plain_path(x))]
 
     def walk(batches):
         for batch in batches:

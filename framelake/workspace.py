@@ -13,7 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None:
         path = spark.sparkContext.getCheckpointDir()
     if path is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="framelake-")
         spark.sparkContext.setCheckpointDir(path)

@@ -16,7 +16,7 @@ from framelake.plans.traffic import traffic
 from framelake.schema import CODE, RECORDS
 from framelake.sources.pcap import open_survey, parse_header, read_anywhere, read_captures, read_stream, register, survey, write_pcap
 
-from .builder import CORE, RAN, RAN2, SERVER, UE, V4_A, V4_B, V6_A, V6_B, eth, extension, fragment, gtp, hop_by_hop, icmp, ip, option, record, tcp, tunnel, udp, v4, v6, vlan
+from .builder import CORE, RAN, RAN2, SERVER, UE, V4_A, V4_B, V6_A, V6_B, eth, extension, gtp, hop_by_hop, icmp, ip, option, record, tcp, tunnel, udp, v4, v6, vlan
 
 
 def analyse(spark, rows, **options):
