@@ -19,9 +19,9 @@ LEAST_ESTIMATE = 0.6
 BUCKET_PART, CLUSTER_PART = 512, 512
 #: Characters of a part of a cluster: very long texts meet in smaller parts.
 PART_CHARS = 4 << 20
-BATCH_WORDS = 300_000
+BATCH_WORDS = 100_000
 #: Words that a worker remembers, and letters of one that is worth it; they bound its memory.
-MOST_WORDS, MOST_LETTERS = 250_000, 64
+MOST_WORDS, MOST_LETTERS = 100_000, 64
 COLUMNS = 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

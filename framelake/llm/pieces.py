@@ -21,7 +21,7 @@ from .common import ddl, others, slices, table
 SPACE = "▁"
 #: Entries that a worker remembers of segments and of pairs before it starts afresh, and characters of a segment that is
 #: worth it; they bound its memory.
-MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 200_000, 300_000, 64
+MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 100_000, 200_000, 64
 #: Bytes of text encoded, decoded in one call and sent on in one batch.
 BATCH_BYTES = 2 << 20
 

@@ -30,7 +30,7 @@ EDITS = ((10, 2), (5, 1))
 EDIT_SHARE = 0.7
 WINDOW = 60
 #: Words that a worker remembers, and letters of one that is worth it; they bound its memory.
-MOST_WORDS, MOST_LETTERS = 200_000, 64
+MOST_WORDS, MOST_LETTERS = 100_000, 64
 WORDS = re.compile(r"\w+").findall
 WORD = re.compile(r"\w+")
 WORD_AT = WORD.finditer
