@@ -70,10 +70,10 @@ def endpoint(version: Column, proto: Column, addr_text: Column, port: Column) ->
 def seconds(ns: Column, digits: int = 9) -> Column:
     """``sec.fraction``, cut off after ``digits``, never rounded."""
     step = 10 ** (9 - digits)
-    return F.concat(_div(ns, NS).cast("string"), F.lit("."), F.lpad(_div(F.pmod(ns, F.lit(NS)), step).cast("string"), digits, "0"))
+    return F.concat(div(ns, NS).cast("string"), F.lit("."), F.lpad(div(F.pmod(ns, F.lit(NS)), step).cast("string"), digits, "0"))
 
 
-def _div(a: Column, b: int) -> Column:
+def div(a: Column, b: int) -> Column:
     """Whole division."""
     return F.call_function("div", a, F.lit(b).cast("long"))
 

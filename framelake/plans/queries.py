@@ -19,7 +19,7 @@ from .catalog import catalog_records, predicted
 from . import files, report
 from .analysis import Analysis
 from .export import flow_lines, flow_text, tunnel_lines, tunnel_text
-from .synth import captures_of, synth_frames, synth_packets
+from .synth import captures_of, client_name, synth_frames, synth_packets
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ TUNNEL = ("teid_text", "src", "dst", "packets", "bytes", "first_ts_ns", "last_ts
 
 
 def q_flows(spark, sf_dir):
-    return flow_text(flow_rows(spark, sf_dir)).select(*FLOW)
+    return flow_text(flow_rows(spark, sf_dir), client_name).select(*FLOW)
 
 
 def q_top_flows(spark, sf_dir):
@@ -189,7 +189,7 @@ def q_flow_lookup(spark, sf_dir):
     """One flow by its key, and no row for a key that there isn't."""
     rows = flow_rows(spark, sf_dir)
     key = rows.where("proto = 17").orderBy(*W.rank_order(rows)).select(*W.KEY).first().asDict()
-    return flow_text(W.find(rows, **key).unionByName(W.find(rows, **(key | {"port_a": 1})))).select(*FLOW)
+    return flow_text(W.find(rows, **key).unionByName(W.find(rows, **(key | {"port_a": 1}))), client_name).select(*FLOW)
 
 
 #: The header that the synthetic capture would have in a file.
