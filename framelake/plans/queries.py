@@ -75,7 +75,7 @@ def q_flows(spark, sf_dir):
 
 
 def q_top_flows(spark, sf_dir):
-    return flow_text(W.top(flow_rows(spark, sf_dir), 10)).select(*FLOW)
+    return flow_text(W.top(flow_rows(spark, sf_dir), 10), client_name).select(*FLOW)
 
 
 def q_first_sender(spark, sf_dir):
