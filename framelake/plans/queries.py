@@ -79,7 +79,7 @@ def q_top_flows(spark, sf_dir):
 
 
 def q_first_sender(spark, sf_dir):
-    return flow_text(flow_rows(spark, sf_dir)).select("protocol", F.col("src").alias("first_sender"), F.col("dst").alias("first_receiver"), "first_ts_ns")
+    return flow_text(flow_rows(spark, sf_dir), client_name).select("protocol", F.col("src").alias("first_sender"), F.col("dst").alias("first_receiver"), "first_ts_ns")
 
 
 def q_tcp_flags(spark, sf_dir):

@@ -21,7 +21,7 @@ def tables(tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["q06_flows", "q13_tunnels", "q38_flow_lookup", "q07_top_flows"])
+@pytest.mark.parametrize("name", ["q06_flows", "q13_tunnels", "q38_flow_lookup", "q07_top_flows", "q08_flow_first_sender"])
 def test_against_sql(spark, tables, name):
     got = queries.QUERIES[name](spark, tables).toPandas()
     db = duckdb.connect()
