@@ -89,7 +89,7 @@ def q_tcp_flags(spark, sf_dir):
 
 def _fragment_flows(lossless):
     def query(spark, sf_dir):
-        rows = flow_text(flow_rows(spark, sf_dir, lossless).where("proto = 17 AND (port_a = 4500 OR port_b = 4500)"))
+        rows = flow_text(flow_rows(spark, sf_dir, lossless).where("proto = 17 AND (port_a = 4500 OR port_b = 4500)"), client_name)
         return rows.select("src", "dst", "packets", "bytes")
 
     return query
