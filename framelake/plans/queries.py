@@ -124,7 +124,7 @@ def q_span(spark, sf_dir):
 
 
 def q_flow_csv(spark, sf_dir):
-    return flow_lines(flow_rows(spark, sf_dir))
+    return flow_lines(flow_rows(spark, sf_dir), client_name)
 
 
 def q_tunnel_csv(spark, sf_dir):
