@@ -19,7 +19,7 @@ from .catalog import catalog_records, predicted
 from . import files, report
 from .analysis import Analysis
 from .export import flow_lines, flow_text, tunnel_lines, tunnel_text
-from .synth import captures_of, client_name, synth_frames, synth_packets
+from .synth import captures_of, client_name, host_name, synth_frames, synth_packets
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def q_tunnel_csv(spark, sf_dir):
 
 def q_flows_large(spark, sf_dir):
     f = W.flows(volume(spark, sf_dir))
-    return f.select("proto", T.address(F.lit(4), F.col("addr_a")).alias("addr_a"), "port_a", T.address(F.lit(4), F.col("addr_b")).alias("addr_b"), "port_b", "packets", "bytes", "first_ts_ns", "last_ts_ns")
+    return f.select("proto", host_name(F.col("addr_a")).alias("addr_a"), "port_a", host_name(F.col("addr_b")).alias("addr_b"), "port_b", "packets", "bytes", "first_ts_ns", "last_ts_ns")
 
 
 def q_top_flows_large(spark, sf_dir):
