@@ -138,7 +138,7 @@ def q_flows_large(spark, sf_dir):
 
 def q_top_flows_large(spark, sf_dir):
     f = W.top(W.flows(volume(spark, sf_dir)), 100)
-    return f.select("proto", T.address(F.lit(4), F.col("addr_a")).alias("addr_a"), T.address(F.lit(4), F.col("addr_b")).alias("addr_b"), "packets", "bytes")
+    return f.select("proto", host_name(F.col("addr_a")).alias("addr_a"), host_name(F.col("addr_b")).alias("addr_b"), "packets", "bytes")
 
 
 def q_host_proto(spark, sf_dir):
