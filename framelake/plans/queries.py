@@ -143,7 +143,7 @@ def q_top_flows_large(spark, sf_dir):
 
 def q_host_proto(spark, sf_dir):
     p = volume(spark, sf_dir)
-    return p.groupBy("src_addr", T.protocol(F.col("ip_proto")).alias("protocol")).agg(F.count("*").alias("packets"), F.sum("wirelen").alias("bytes")).select(T.address(F.lit(4), F.col("src_addr")).alias("host"), "protocol", "packets", "bytes")
+    return p.groupBy("src_addr", T.protocol(F.col("ip_proto")).alias("protocol")).agg(F.count("*").alias("packets"), F.sum("wirelen").alias("bytes")).select(host_name(F.col("src_addr")).alias("host"), "protocol", "packets", "bytes")
 
 
 def q_roundtrip(spark, sf_dir):
