@@ -18,6 +18,7 @@ from ..schema import READER_STATUSES
 from ..sources.pcap import plain_path, read_captures, register
 from ..workspace import shared_dir
 from .export import flow_text
+from .synth import client_name
 
 #: Records of one file of the queries' captures.
 BLOCK = 5_000
@@ -60,7 +61,7 @@ def flows_of_files(frames: DataFrame, sf_dir: str) -> DataFrame:
     root = folder(spark, "flows", sf_dir)
     write_captures(frames, root)
     packets = once(decode_frames(read_captures(spark, root, range_bytes=200_000), fields=[*NEEDED, *W.FLOW_FIELDS]))
-    return flow_text(W.flows(attribute(packets)))
+    return flow_text(W.flows(attribute(packets)), client_name)
 
 
 def ends(nation: DataFrame, sf_dir: str) -> DataFrame:
