@@ -199,7 +199,7 @@ SYNTH = FileInfo("synth.pcap", nsec=True, version_major=2, version_minor=4, snap
 def _report_lines(section: str):
     def query(spark, sf_dir):
         analysis = Analysis.of_records(frames(spark, sf_dir))
-        lines = report.sections(analysis, SYNTH, 10)[section].removesuffix("\n").split("\n")
+        lines = report.sections(analysis, SYNTH, 10, client_name)[section].removesuffix("\n").split("\n")
         analysis.free()
         return spark.createDataFrame([(k, line) for k, line in enumerate(lines, 1)], "line_no int, line string")
 

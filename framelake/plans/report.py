@@ -12,7 +12,7 @@ from ..operators.flows import distinct_teids, top
 from ..schema import GTPU_PORT
 from ..sources.pcap import FileInfo
 from .analysis import Analysis
-from .export import flow_text, tunnel_text
+from .export import Name, as_decoded, flow_text, tunnel_text
 
 
 def percent(part: int, whole: int) -> float:
@@ -101,7 +101,7 @@ def gtpu(c: dict, problems: list[tuple[str, int]], tunnels: int, teids: int) ->
     return "\n".join(lines) + "\n"
 
 
-def sections(analysis: Analysis, info: FileInfo, n: int) -> dict[str, str]:
+def sections(analysis: Analysis, info: FileInfo, n: int, name: Name = as_decoded) -> dict[str, str]:
     """The report's parts by name, with the n largest flows and tunnels; only shown rows and single counts reach the driver."""
     c = analysis.counters().first().asDict()
     told = lambda df: [(r.text, r.packets) for r in df.collect()]
@@ -109,7 +109,7 @@ def sections(analysis: Analysis, info: FileInfo, n: int) -> dict[str, str]:
     flow_count, tunnel_count = flows.count(), tunnels.count()
     shown = lambda t, text: text(top(t, n)).collect() if n else []
     out = {
-        "summary": summary(info, c, told(analysis.problems()), flow_count), "flows": top_flows(shown(flows, flow_text), flow_count),
+        "summary": summary(info, c, told(analysis.problems()), flow_count), "flows": top_flows(shown(flows, lambda t: flow_text(t, name)), flow_count),
         "gtpu": gtpu(c, told(analysis.gtp_problems()), tunnel_count, distinct_teids(tunnels).first().teids), "tunnels": top_tunnels(shown(tunnels, tunnel_text), tunnel_count),
     }
     flows.unpersist()

@@ -21,7 +21,7 @@ def tables(tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["q06_flows", "q13_tunnels", "q38_flow_lookup", "q07_top_flows", "q08_flow_first_sender", "q09_flow_tcp_flags", "q10_fragment_attribution_flows", "q19_flow_csv_lines", "q21_flows_large", "q22_top_flows_large", "q23_host_proto_counts", "q25_lossless_fragments", "q33_capture_flows", "q34_report_summary"])
+@pytest.mark.parametrize("name", ["q06_flows", "q13_tunnels", "q38_flow_lookup", "q07_top_flows", "q08_flow_first_sender", "q09_flow_tcp_flags", "q10_fragment_attribution_flows", "q19_flow_csv_lines", "q21_flows_large", "q22_top_flows_large", "q23_host_proto_counts", "q25_lossless_fragments", "q33_capture_flows", "q34_report_summary", "q35_report_flows"])
 def test_against_sql(spark, tables, name):
     got = queries.QUERIES[name](spark, tables).toPandas()
     db = duckdb.connect()
