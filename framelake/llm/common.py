@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..workspace import shared_dir
 WRITTEN: list[str] = []
 #: Keys that hold more than this part of all rows are met by broadcast: there are fewer of them than that.
 HOT_KEYS = 4096
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold several at a time.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,33 @@ def let(value, use):
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def release() -> None:
+    """Give the pages that nothing uses back to the system: a worker stays for later tasks, and neither Arrow nor malloc does so by itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not everywhere
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of about ARROW_BYTES, or of one row; once its rows are through, a task leaves no unused memory in its worker.
+
+    Spark bounds batches for a session only, so the session's bound is lowered to that (never raised), and stays so.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)))
+    if not 0 < most <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch with about so many bytes of text, or one text, and their texts: Python holds no more at once."""
     column = batch.column(text)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, join_spread
+from .common import cut, drop_cut, join_spread, map_arrow
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], list[list
                 held = [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], names=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), go, schema)
 
 
 def sized(rows: DataFrame, keys: list[str], total: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ddl, drop_since, join_spread, others, slices, table, WRITTEN
+from .common import cut, ddl, drop_since, join_spread, map_arrow, others, slices, table, WRITTEN
 from .graph import Forest, by_group, components, in_blocks, sized, spanning
 
 WORDS, SIMILARITY = 5, 0.8
@@ -155,7 +155,7 @@ def signed(texts: DataFrame, text: str) -> DataFrame:
                     chars = pa.array([len(x) for x in values[at:end]], pa.int64())
                     yield pa.RecordBatch.from_arrays([*(part.column(c).slice(at, end - at) for c in keep), chars, bands, bytes_], names=[*keep, "chars", "bands", "sig"])
 
-    return texts.select(*keep, text).mapInArrow(run, f"{ddl(texts, keep)}, chars bigint, bands array<bigint>, sig binary")
+    return map_arrow(texts.select(*keep, text), run, f"{ddl(texts, keep)}, chars bigint, bands array<bigint>, sig binary")
 
 
 def _estimated(group: pa.Table) -> list[list]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, others, slices, table
+from .common import ddl, map_arrow, others, slices, table
 
 SPACE = "▁"
 #: Entries that a worker remembers of segments and of pairs before it starts afresh, and characters of a segment that is
@@ -141,7 +141,7 @@ def tokenize(df: DataFrame, model: str, text: str = "text") -> DataFrame:
                 ids = [coder.encode(x or "") for x in texts]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.string())], names=[*keep, "ids", "decoded"])
 
-    return df.select(*keep, text).mapInArrow(run, ", ".join(filter(None, [ddl(df, keep), "ids binary, decoded string"])))
+    return map_arrow(df.select(*keep, text), run, ", ".join(filter(None, [ddl(df, keep), "ids binary, decoded string"])))
 
 
 def token_ids(data: bytes) -> list[int]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, cut, ddl, drop_since, join_spread, others, slices, table
+from .common import WRITTEN, cut, ddl, drop_since, join_spread, map_arrow, others, slices, table
 
 #: The kinds of candidates and their patterns, in this order.
 KINDS = ("assign", "access", "hex")
@@ -59,7 +59,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep_text: bool = True) -> D
                 spans = pa.array([candidates(x) if x else [] for x in texts], ARROW)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), spans], names=[*columns, "spans"])
 
-    return df.select(*keep, text).mapInArrow(run, f"{ddl(df, columns)}, spans {SPANS}" if columns else f"spans {SPANS}")
+    return map_arrow(df.select(*keep, text), run, f"{ddl(df, columns)}, spans {SPANS}" if columns else f"spans {SPANS}")
 
 
 def ownership(each: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
 
     clean = df.where(F.size("secrets") == 0).select(*keep, text)
-    return clean.unionByName(df.where(F.size("secrets") > 0).select(*keep, text, "secrets").mapInArrow(run, ddl(df, [*keep, text])))
+    return clean.unionByName(map_arrow(df.where(F.size("secrets") > 0).select(*keep, text, "secrets"), run, ddl(df, [*keep, text])))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

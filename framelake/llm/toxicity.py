@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, cut, ddl, drop_since, others, slices, table
+from .common import WRITTEN, cut, ddl, drop_since, map_arrow, others, slices, table
 from .minhash import signed
 
 #: Bound of the sample that the lexicon and the weights are learned from: labelled rows of each class, by hash of doc_id.
@@ -267,7 +267,7 @@ def fit(sample: DataFrame) -> Model:
         terms = list(total[1].keys() | total[0].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([total[1][t] for t in terms], pa.int64()), pa.array([total[0][t] for t in terms], pa.int64())], names=["term", "n1", "n0"])
 
-    counts = cut(sample.select("text", "toxic").mapInArrow(count, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "counts")
+    counts = cut(map_arrow(sample.select("text", "toxic"), count, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "counts")
     ratio = (F.col("n1") + 0.5) / (F.col("n0") + 0.5) * ((all0 + 1) / (all1 + 1))
     likely = counts.where((F.col("n1") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("n1") - F.col("n0")), "term").limit(20 * MOST_TERMS)
     terms = chosen({r.term: (r.n1, r.n0) for r in likely.collect()}, all1, all0)
@@ -279,7 +279,7 @@ def fit(sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("term").to_pylist() if lexicon.meet(w) and not lexicon.meet(w)[1]], pa.string())], names=["term"])
 
     plain = counts.where((F.col("n0") >= REAL) & (ratio < LEAST_RATIO) & ~F.endswith("term", F.lit("*"))).select("term")
-    known = frozenset(r.term for r in plain.mapInArrow(real, "term string").collect())
+    known = frozenset(r.term for r in map_arrow(plain, real, "term string").collect())
 
     def measure(batches):
         lexicon = Lexicon(terms, known)
@@ -294,7 +294,7 @@ def fit(sample: DataFrame) -> Model:
                     weight += [1 / len(forms)] * len(forms)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(toxic, pa.int32()), pa.array(weight, pa.float64())], names=["x", "toxic", "weight"])
 
-    rows = sample.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int, weight double").collect()
+    rows = map_arrow(sample.select("text", "toxic"), measure, "x array<double>, toxic int, weight double").collect()
     drop_since(spark, mark)
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return Model(terms, known, *logistic(x, np.array([r.toxic for r in rows], float), np.array([r.weight for r in rows])))
@@ -374,7 +374,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 extra = [pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *extra], names=[*keep, "score", "matched"])
 
-    return df.select(*keep).mapInArrow(run, f"{ddl(df, keep)}, score double, matched array<double>")
+    return map_arrow(df.select(*keep), run, f"{ddl(df, keep)}, score double, matched array<double>")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -4,7 +4,8 @@ import random
 import zlib
 
 import corpus_pipeline
-from framelake.llm import minhash, pieces
+import pyarrow as pa
+from framelake.llm import common, minhash, pieces
 
 from .rows import documents, empty, near, prose
 
@@ -50,3 +51,38 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
 
 def test_hash_of_fold_is_crc32():
     assert zlib.crc32(b"123") % 5 in range(5) and minhash.BANDS * minhash.ROWS == minhash.REGISTERS
+
+
+def test_batches_between_spark_and_python_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+
+        def seen(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "rows"])
+
+        docs = spark.range(0, 8_000, 1, 1).selectExpr("id AS doc_id", "repeat('lorem ips', 500) AS text")
+        pieces.tokenize(docs, "")  # lowers the session's bound before anything runs
+        got = docs.mapInArrow(seen, "bytes bigint, rows bigint").collect()
+        assert sum(r.rows for r in got) == 8_000 and max(r.bytes for r in got) <= 2 * common.ARROW_BYTES
+        assert spark.conf.get(name) == str(common.ARROW_BYTES)
+        spark.conf.set(name, "1m")
+        pieces.tokenize(docs, "")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_unused_memory_is_given_back():
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon"))
+
+    blocks = [bytes(5_000) for _ in range(20_000)]  # 100 MB in pieces too small for mappings of their own
+    top = bytes(5_000)  # above them, so that freeing alone gives nothing back
+    del blocks
+    before = anonymous()
+    common.release()
+    assert anonymous() < before - 50_000 and len(top) == 5_000
