@@ -604,3 +604,31 @@ def test_pieces_equal_the_library(spark):
     encoder = pieces.encoder(path)
     text = "".join(rng.choices(bits, k=3000))
     assert pieces.token_ids(encoder.encode(text)) == library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_frequent_segments_are_encoded_once(monkeypatch):
+    class Watched:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, []
+
+        def iter(self, segment):
+            self.seen.append(segment)
+            return self.inner.iter(segment)
+
+    coder = pieces.Encoder(pieces.model_path())
+    monkeypatch.setattr(coder, "automaton", Watched(coder.automaton))
+    rng = random.Random(10)
+    vocabulary = [coder.library.id_to_piece(i) for i in range(300, 32000)]
+    marked = "the cat, the cat. Cats; (cat) cat? cat: cat, 3cats cat's [cat]\ncat"
+    texts = [marked, *("".join(rng.choices(vocabulary + [" ", ",", ".", "½", "’", "\n", "𝔸"] * 900, k=30)) for _ in range(1000))]
+    got = [coder.encode(x) for x in texts]
+    assert [pieces.token_ids(x) for x in got] == coder.library.encode(texts, add_bos=True, add_eos=True)
+    assert sum(s.strip("▁") == "cat" for s in coder.automaton.seen) == 2 and not any("cat" in s and set(s) & set(",.;:?()[]3") for s in coder.automaton.seen)
+
+    coder.clear()
+    monkeypatch.setattr(pieces, "MOST_SEGMENTS", 8)
+    coder.automaton.seen.clear()
+    rare = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(200)]
+    text = " ".join(f"thing {word}" for word in rare)
+    assert pieces.token_ids(coder.encode(text)) == coder.library.encode(text, add_bos=True, add_eos=True)
+    assert coder.automaton.seen.count("▁thing") <= 1 and len(coder) <= 8
